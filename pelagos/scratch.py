@@ -7,6 +7,7 @@ session that names none gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,12 @@ def clear(spark: SparkSession) -> None:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs whose DataFrames are gone.
+
+    Its cleaner acts on objects that the driver's JVM has collected, which an idle driver may not do for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
