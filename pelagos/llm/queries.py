@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pelagos.llm.bpe import with_token_columns
 from pelagos.llm.exact_dedup import exact_dedup
+from pelagos.llm.simhash import simhash_dedup
+from pelagos.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return with_token_columns(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_table(spark, sf_dir, "documents"), digest_all=True)
     return found.selectExpr("id as doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -22,5 +41,23 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+     h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM s),
+     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM h),
+     c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1),
+     x AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+           list_filter(w, lambda v, p: NOT list_contains(gone, p)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_simhash": op7_simhash,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+ORACLE_SQL = {"op5_substring_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
