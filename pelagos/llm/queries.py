@@ -3,19 +3,59 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagos.llm import quality_cnn
 from pelagos.llm.bpe import with_token_columns
+from pelagos.llm.decontamination import contained_items
 from pelagos.llm.exact_dedup import exact_dedup
+from pelagos.llm.license_scan import scan_licences
+from pelagos.llm.secrets import KINDS, scan_secrets
 from pelagos.llm.simhash import simhash_dedup
 from pelagos.llm.substring_dedup import substring_dedup
+from pelagos.llm.token_counts import count_tokens
+from pelagos.llm.url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: The rules of the URL query.
+ALLOWED = ["com/", "www.example.com/en/"]
+BLOCKED = ["example.com/en/", "net/es/", "net/fr/"]
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """url and good: a page shows the document whose number ends its path; good is quality 1 and not toxic."""
+    number = F.regexp_extract("url", r"/(\d{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
+    numbered = pages.select("url", number.try_cast("long").alias("doc_id"))
+    good = labels.select("doc_id", (F.col("quality") * (1 - F.col("toxic"))).alias("good"))
+    return numbered.join(good, "doc_id").select("url", "good")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = judge_urls(pages, page_outcomes(pages, _table(spark, sf_dir, "labels")), ALLOWED, BLOCKED)
+    return found.selectExpr("id as page_id", "host", "path", "rule", "verdict")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return count_tokens(_table(spark, sf_dir, "documents"), model).withColumnRenamed("id", "doc_id")
+
+
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_cnn.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_cnn.classify(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,6 +75,31 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _spans(kinds: tuple[str, ...]) -> Column:
+    named = F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(named, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = KINDS[:3]
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(_count(kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(_spans(base), 256).alias("base_sha256"),
+        _spans(KINDS).alias("spans"),
+    )
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 OP9_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
      g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -54,10 +119,69 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM d LEFT JOIN x USING (doc_id)
 """
 
+OP10_SQL = r"""
+WITH w AS (SELECT 0 AS side, doc_id AS k, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+           UNION ALL
+           SELECT 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark),
+     i AS (SELECT side, k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0),
+     s AS (SELECT DISTINCT side, k, array_to_string(w[i:i + 4], ' ') AS s FROM i),
+     n AS (SELECT k, count(*) AS n FROM s WHERE side = 1 GROUP BY k),
+     p AS (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS c FROM s d JOIN s b USING (s)
+           WHERE d.side = 0 AND b.side = 1 GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_shingles, c AS n_shared, c::DOUBLE / n AS containment
+FROM p JOIN n ON item_id = k WHERE c >= ceil(round(0.8 * n, 9))
+"""
+
+OP2_SQL = r"""
+WITH u AS (SELECT page_id, url,
+             translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+             try_cast(regexp_extract(coalesce(url, ''), '/(\d{1,18})(?:\.html|/)?(?:[?#].*)?$', 1) AS BIGINT) AS doc_id FROM pages),
+     o AS (SELECT host, 1 AS n, quality * (1 - toxic) AS k FROM u JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+     c AS (SELECT host, sum(n) AS n, sum(k) AS k FROM (SELECT host, n, k FROM o UNION ALL SELECT host, 0, 0 FROM u) GROUP BY host),
+     h AS (SELECT host, n::DOUBLE AS n, k::DOUBLE AS k,
+             regexp_extract(host, '(?:^|\.)(co\.uk|[^.]*)\.?$', 1) AS suffix,
+             regexp_extract(host, '(?:^|\.)((?:[^.]*\.)?(?:co\.uk|[^.]*))\.?$', 1) AS domain FROM c),
+     d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+     x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+     a AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mu FROM x),
+     xa AS (SELECT x.*, mu FROM x, a),
+     wx AS (SELECT sum((k - n * mu) ** 2 - n * mu * (1 - mu)) AS t, sum(n * (n - 1) * mu * (1 - mu)) AS b FROM xa),
+     mx AS (SELECT CASE WHEN b = 0 OR t <= 0 THEN 1000.0 ELSE least(greatest(b / t - 1, 1.0), 1000.0) END AS m FROM wx),
+     xm AS (SELECT suffix, (mu * m + k) / (m + n) AS mu FROM xa, mx),
+     da AS (SELECT d.*, mu FROM d JOIN xm USING (suffix)),
+     wd AS (SELECT sum((k - n * mu) ** 2 - n * mu * (1 - mu)) AS t, sum(n * (n - 1) * mu * (1 - mu)) AS b FROM da),
+     md AS (SELECT CASE WHEN b = 0 OR t <= 0 THEN 1000.0 ELSE least(greatest(b / t - 1, 1.0), 1000.0) END AS m FROM wd),
+     dm AS (SELECT suffix, domain, (mu * m + k) / (m + n) AS mu FROM da, md),
+     ha AS (SELECT h.*, mu FROM h JOIN dm USING (suffix, domain)),
+     wh AS (SELECT sum((k - n * mu) ** 2 - n * mu * (1 - mu)) AS t, sum(n * (n - 1) * mu * (1 - mu)) AS b FROM ha),
+     mh AS (SELECT CASE WHEN b = 0 OR t <= 0 THEN 1000.0 ELSE least(greatest(b / t - 1, 1.0), 1000.0) END AS m FROM wh),
+     hm AS (SELECT host, (mu * m + k) / (m + n) AS p, m + n AS size FROM ha, mh),
+     r AS (SELECT host, p - 1.645 * sqrt(p * (1 - p) / (size + 1)) >= 0.5 AS good FROM hm),
+     v AS (SELECT page_id, host, path, good, CASE
+             WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+             WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM u JOIN r USING (host))
+SELECT page_id, host, path, rule, CASE WHEN coalesce(rule IN ('com/', 'www.example.com/en/'), good) THEN 'allow' ELSE 'block' END AS verdict FROM v
+"""
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_url_filter": op2_url_filter,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality_cnn": op4_quality_cnn,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLE_SQL = {
+    "op2_url_filter": OP2_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op9_exact_dedup": OP9_SQL,
+    "op10_decontamination": OP10_SQL,
 }
-ORACLE_SQL = {"op5_substring_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL}
