@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,5 +52,7 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner acts on objects that the driver's JVM has collected, which an idle driver may not do for half an hour.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first pass only finds the last references that Python or a listener has just dropped
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
