@@ -5,7 +5,7 @@ score and its piece count from character to character.  Ties follow the tokenize
 begins first wins, and a character that is no piece by itself also competes as unknown, at the lowest score less ten.
 An unknown character counts its bytes where the vocabulary has byte pieces; otherwise neighbours count as one.
 
-Spaces become ``▁`` and a text gets one in front, unless it begins with one.  No piece of the vocabulary may
+Spaces become ``▁`` and a text gets one more in front.  No piece of the vocabulary may
 hold ``▁`` after another character, so a text falls into segments, each a run of ``▁`` and what follows, whose best
 paths are independent; a batch counts each distinct segment once.  Scores are added per segment in double precision.
 
@@ -97,8 +97,7 @@ class SegmentCounter:
 def segments(text: str) -> list[str]:
     if not text:
         return []
-    text = text.replace(" ", SPACE)
-    return _SEGMENT.findall(text if text.startswith(SPACE) else SPACE + text)
+    return _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
 
 
 @functools.lru_cache(maxsize=2)
