@@ -5,7 +5,7 @@
 2. First windows are shuffled by hash bucket, packed as compressed columns, and each bucket marks the windows whose
    hash another document with a smaller id holds too.  The number of buckets follows the text volume, so a bucket has a
    bounded size, and a hash reaches its bucket once per batch at most, however common it is.
-3. Marked positions come back per document, merge into maximal removal intervals, and cut the text.
+3. Marked positions meet by document bucket, merge into maximal removal intervals, and cut the text.
 
 Windows are compared by 80 bits of hash: 64 to meet, 16 of an independent hash to confirm.
 
@@ -37,6 +37,7 @@ BUCKET_BYTES = 16 << 20
 _ROWS = 2048
 _NO_ID = np.iinfo(np.int64).max
 _CODEC = "zstd"
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _PACKED = "bucket int, n int, docs int, size int, side binary, hashes binary"
 
 
@@ -87,17 +88,11 @@ def _first_windows(width: int, buckets: int):
             earlier = (rank[text[order]] != rank[text[head]]) | (at[order] != at[head])
             first, again = np.sort(order[new]), np.sort(order[~new & earlier])
             share = ((one[first] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            rows = [(int(share[p[0]]), first[p]) for p in _runs(np.argsort(share, kind="stable"), share)]
-            share = -1 - (keys[text[again]] % buckets).astype(np.int32)
-            rows += [(int(share[p[0]]), again[p]) for p in _runs(np.argsort(share, kind="stable"), share)]
-            made = []
-            for bucket, where in rows:
-                own, begin, runs = np.unique(text[where], return_index=True, return_counts=True)
-                side, size = _pack(ids[own], keys[own], runs, at[where])
-                sums = one[where].tobytes() + two[where].tobytes() if bucket >= 0 else b""
-                made.append({"bucket": bucket, "n": len(where), "docs": len(own), "size": size, "side": side, "hashes": sums})
-            kinds = [(c, pa.int32()) for c in ("bucket", "n", "docs", "size")] + [("side", pa.binary()), ("hashes", pa.binary())]
-            yield pa.RecordBatch.from_pylist(made, pa.schema(kinds))
+            pieces = [(p, first[p]) for p in _runs(np.argsort(share, kind="stable"), share)]
+            rows = [(int(share[p[0]]), w, one[w].tobytes() + two[w].tobytes()) for p, w in pieces]
+            share = -1 - _share(keys[text[again]], buckets)
+            rows += [(int(share[p[0]]), again[p], b"") for p in _runs(np.argsort(share, kind="stable"), share)]
+            yield _rows(rows, ids[text], keys[text], at)
 
     return hashed
 
@@ -110,15 +105,42 @@ def _runs(order: np.ndarray, *keys: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(change) + 1) if len(order) else []
 
 
-def _marked(table: pa.Table) -> pa.Table:
-    """Step 2, for one bucket: per document, the positions of windows that start earlier elsewhere."""
-    rows = table.to_pylist()
-    parts = [_unpack(r["side"], r["size"], r["docs"], r["n"]) for r in rows]
-    ids, keys, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-    if rows[0]["bucket"] >= 0:
-        one = np.concatenate([np.frombuffer(r["hashes"], "<u8", r["n"]) for r in rows])
-        two = np.concatenate([np.frombuffer(r["hashes"], "<u2", r["n"], 8 * r["n"]) for r in rows])
-        del rows, parts
+def _joined(table: pa.Table) -> list[np.ndarray]:
+    """Id, text key, position and, where they travel, both hashes of all windows of packed rows."""
+    parts = []
+    for r in table.to_pylist():
+        n, sums = r["n"], r["hashes"]
+        parts.append(_unpack(r["side"], r["size"], r["docs"], n))
+        if sums:
+            parts[-1] += (np.frombuffer(sums, "<u8", n), np.frombuffer(sums, "<u2", n, 8 * n))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _share(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which a document's marks meet."""
+    return (keys % buckets).astype(np.int32)
+
+
+def _rows(windows: list[tuple[int, np.ndarray, bytes]], ids, keys, at) -> pa.RecordBatch:
+    """Packed rows of (bucket, windows, hashes); the windows of a row stand in the order of their documents."""
+    made = []
+    for bucket, where, sums in windows:
+        change = np.flatnonzero(np.diff(ids[where]).astype(bool) | np.diff(keys[where]).astype(bool)) + 1
+        begin = np.concatenate([[0], change])
+        side, size = _pack(ids[where[begin]], keys[where[begin]], np.diff(np.append(begin, len(where))), at[where])
+        made.append({"bucket": bucket, "n": len(where), "docs": len(begin), "size": size, "side": side, "hashes": sums})
+    kinds = [(c, pa.int32()) for c in ("bucket", "n", "docs", "size")] + [("side", pa.binary()), ("hashes", pa.binary())]
+    return pa.RecordBatch.from_pylist(made, pa.schema(kinds))
+
+
+def _marks(buckets: int):
+    """Task body of step 2, for one bucket: windows that start earlier elsewhere, packed by their documents' bucket."""
+
+    def marked(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:  # repeated within a batch, and packed by document already
+            return table.set_column(0, "bucket", pa.array([-1 - bucket] * table.num_rows, pa.int32()))
+        ids, keys, at, one, two = _joined(table)
         order = np.argsort(one)
         same = one[order[1:]] == one[order[:-1]]
         where = order[np.append(same, False) | np.append(False, same)]
@@ -127,24 +149,37 @@ def _marked(table: pa.Table) -> pa.Table:
         new[1:] = (one[where[1:]] != one[where[:-1]]) | (two[where[1:]] != two[where[:-1]])
         head = where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))]
         where = where[(ids[where] != ids[head]) | (keys[where] != keys[head]) | (at[where] != at[head])]
-        ids, keys, at = ids[where], keys[where], at[where]
-    pieces = _runs(np.lexsort((at, keys, ids)), ids, keys)
-    return pa.table(
-        {
-            "id": pa.array([int(ids[p[0]]) for p in pieces], pa.int64()),
-            "text_key": pa.array([int(keys[p[0]]) for p in pieces], pa.int32()),
-            "starts": pa.array([at[p].astype("<u4").tobytes() for p in pieces], pa.binary()),
-        }
-    )
-
-
-def removal_intervals(starts: list[bytes] | None, width: int) -> list[tuple[int, int]]:
-    """Maximal word intervals [begin, end) that the windows at ``starts`` cover; neighbours that touch are merged."""
-    if not starts:
-        return []
-    at = np.unique(np.frombuffer(b"".join(starts), "<u4").astype(np.int64))
-    breaks = np.flatnonzero(at[1:] > at[:-1] + width) + 1
-    return [(int(p[0]), int(p[-1]) + width) for p in np.split(at, breaks)]
+        share = _share(keys, buckets)
+        where = where[np.lexsort((at[where], keys[where], ids[where], share[where]))]
+        rows = [(int(share[p[0]]), p, b"") for p in _runs(where, share)]
+        return pa.Table.from_batches([_rows(rows, ids, keys, at)])
+
+    return marked
+
+
+def _intervals(width: int):
+    """Task body of step 3, for one bucket of documents: the intervals that each document's marks merge into."""
+
+    def merged(table: pa.Table) -> pa.Table:
+        ids, keys, at = _joined(table)
+        pieces = _runs(np.lexsort((at, keys, ids)), ids, keys)
+        spans = [removal_intervals(at[p], width) for p in pieces]
+        return pa.table(
+            {
+                "id": pa.array([int(ids[p[0]]) for p in pieces], pa.int64()),
+                "text_key": pa.array([int(keys[p[0]]) for p in pieces], pa.int32()),
+                "removed": pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], _SPANS),
+            }
+        )
+
+    return merged
+
+
+def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Maximal word intervals [begin, end) that windows at ``starts`` cover; neighbours that touch are merged."""
+    at = np.unique(starts).astype(np.int64)
+    begin = np.flatnonzero(np.diff(at, prepend=-width - 1) > width)
+    return list(zip(at[begin].tolist(), (at[np.append(begin[1:], len(at)) - 1] + width).tolist(), strict=True))
 
 
 def _cut(text: str | None, intervals: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -176,24 +211,22 @@ def substring_dedup(
     rows = docs.select(docs[id_col].alias("id"), F.hash(text).alias("text_key"), text.alias("text"))
     longs = rows.select(F.col("id").cast("long"), "text_key", "text")
     packed = longs.mapInArrow(_first_windows(width, buckets), _PACKED)
-    marked = packed.groupBy("bucket").applyInArrow(_marked, "id long, text_key int, starts binary")
-    marked = written(marked, "marked")
-    del packed
+    packed = written(packed.groupBy("bucket").applyInArrow(_marks(buckets), _PACKED), "marks")
     release(spark)
-    found = marked.groupBy("id", "text_key").agg(F.collect_list("starts").alias("starts"))
-    found = found.select(F.col("id").alias("long_id"), F.col("text_key").alias("of"), "starts")
+    spans = "array<struct<begin: long, end: long>>"
+    found = packed.groupBy("bucket").applyInArrow(_intervals(width), f"id long, text_key int, removed {spans}")
+    found = written(found.select(F.col("id").alias("long_id"), F.col("text_key").alias("of"), "removed"), "intervals")
     key = F.coalesce(rows["id"].cast("long"), F.lit(_NO_ID))
-    both = rows.join(found, (key == found["long_id"]) & (rows["text_key"] == found["of"]), "left")
+    both = rows.join(found.hint("merge"), (key == found["long_id"]) & (rows["text_key"] == found["of"]), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
-            intervals = [removal_intervals(s, width) for s in batch.column(2).to_pylist()]
+            spans = batch.column(2)
+            intervals = [[(x["begin"], x["end"]) for x in own] for own in spans.to_pylist()]
             made = [_cut(t.as_py(), x) for t, x in zip(batch.column(1), intervals, strict=True)]
-            n, gone, kept = zip(*made, strict=True)
-            spans = [[{"begin": b, "end": e} for b, e in x] for x in intervals]
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())]
+            n, gone, kept = (pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))
+            columns = [batch.column(0), n, gone, spans, kept]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_removed", "removed", "kept_text"])
 
-    schema = f"id {id_type}, n_words long, n_removed long, removed array<struct<begin: long, end: long>>, kept_text string"
-    return both.select("id", "text", "starts").mapInArrow(cut, schema)
+    schema = f"id {id_type}, n_words long, n_removed long, removed {spans}, kept_text string"
+    return both.select("id", "text", F.coalesce("removed", F.array().cast(spans)).alias("removed")).mapInArrow(cut, schema)
