@@ -110,13 +110,17 @@ def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
     buf, starts, text = _laid_out(texts)
     size, tables = len(buf) - _PAD, _tables(net)
     match = _match_counts(buf)
+    first = np.searchsorted(text, np.arange(len(texts)))
     chunk = np.empty((len(starts), FILTERS + MATCH_FILTERS), np.float32)
     for i in range(0, len(starts), _PIECE):
         own = starts[i : i + _PIECE]
         b, e = int(own[0]), int(starts[i + _PIECE]) if i + _PIECE < len(starts) else size
-        chunk[i : i + _PIECE, :FILTERS] = np.maximum.reduceat(_convolved(tables, buf, b, e), own - b)
+        conv, ends = _convolved(tables, buf, b, e), starts[first]
+        ends = ends[(ends > b) & (ends <= e)]
+        conv[(ends[:, None] - np.arange(1, WIDTH) - b).ravel()] = tables[:, 0].sum(0)  # padding only, not the next text
+        chunk[i : i + _PIECE, :FILTERS] = np.maximum.reduceat(conv, own - b)
         chunk[i : i + _PIECE, FILTERS:] = np.maximum.reduceat(match[b // 8 : e // 8] @ net.match, (own - b) // 8)
-    return np.maximum.reduceat(chunk, np.searchsorted(text, np.arange(len(texts))))
+    return np.maximum.reduceat(chunk, first)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,7 +142,7 @@ def _gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> list[np.ndar
     spot = np.empty((len(texts), MATCH_FILTERS), np.int64)
     top = np.empty((len(texts), FILTERS + MATCH_FILTERS), np.float32)
     for i, (b, e) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
-        conv, planes = _convolved(tables, buf, b, e), match[b // 8 : e // 8] @ net.match
+        conv, planes = _convolved(tables, buf, b, e - WIDTH + 1), match[b // 8 : e // 8] @ net.match
         at, block = conv.argmax(0), planes.argmax(0)
         peak[i], spot[i] = b + at, b // 8 + block
         top[i, :FILTERS] = conv[at, np.arange(FILTERS)]
