@@ -5,7 +5,8 @@
 2. First windows are shuffled by hash bucket, packed as compressed columns, and each bucket marks the windows whose
    hash another document with a smaller id holds too.  The number of buckets follows the text volume, so a bucket has a
    bounded size, and a hash reaches its bucket once per batch at most, however common it is.
-3. Marked positions meet by document bucket, merge into maximal removal intervals, and cut the text.
+3. Marked positions meet by document bucket, merge into maximal removal intervals, and cut the text.  A document's
+   bucket comes from its id and its text together, so the copies of one text spread over all buckets.
 
 Windows are compared by 80 bits of hash: 64 to meet, 16 of an independent hash to confirm.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.words import split_words, window_hashes, window_starts, word_hashes
+from pelagos.llm.words import BASE, split_words, window_hashes, window_starts, word_hashes
 from pelagos.scratch import release, written
 
 WINDOW_WORDS = 20
@@ -87,10 +88,11 @@ def _first_windows(width: int, buckets: int):
             head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
             earlier = (rank[text[order]] != rank[text[head]]) | (at[order] != at[head])
             first, again = np.sort(order[new]), np.sort(order[~new & earlier])
+            again = again[np.unique(np.stack([rank[text[again]], at[again]]), axis=1, return_index=True)[1]]  # repeated rows
             share = ((one[first] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             pieces = [(p, first[p]) for p in _runs(np.argsort(share, kind="stable"), share)]
             rows = [(int(share[p[0]]), w, one[w].tobytes() + two[w].tobytes()) for p, w in pieces]
-            share = -1 - _share(keys[text[again]], buckets)
+            share = -1 - _share(ids[text[again]], keys[text[again]], buckets)
             rows += [(int(share[p[0]]), again[p], b"") for p in _runs(np.argsort(share, kind="stable"), share)]
             yield _rows(rows, ids[text], keys[text], at)
 
@@ -116,9 +118,11 @@ def _joined(table: pa.Table) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def _share(keys: np.ndarray, buckets: int) -> np.ndarray:
+def _share(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket in which a document's marks meet."""
-    return (keys % buckets).astype(np.int32)
+    mixed = ids.astype(np.uint64) * BASE ^ keys.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _rows(windows: list[tuple[int, np.ndarray, bytes]], ids, keys, at) -> pa.RecordBatch:
@@ -149,8 +153,10 @@ def _marks(buckets: int):
         new[1:] = (one[where[1:]] != one[where[:-1]]) | (two[where[1:]] != two[where[:-1]])
         head = where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))]
         where = where[(ids[where] != ids[head]) | (keys[where] != keys[head]) | (at[where] != at[head])]
-        share = _share(keys, buckets)
+        share = _share(ids, keys, buckets)
         where = where[np.lexsort((at[where], keys[where], ids[where], share[where]))]
+        repeated = (np.diff(ids[where]) == 0) & (np.diff(keys[where]) == 0) & (np.diff(at[where]) == 0)
+        where = where[np.append(True, ~repeated)[: len(where)]]  # repeated rows
         rows = [(int(share[p[0]]), p, b"") for p in _runs(where, share)]
         return pa.Table.from_batches([_rows(rows, ids, keys, at)])
 

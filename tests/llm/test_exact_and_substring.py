@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from frames import AWKWARD, DOCS, clashing, docs
 
 from pelagos.llm.exact_dedup import drop_exact_duplicates, exact_dedup
-from pelagos.llm.substring_dedup import substring_dedup
+from pelagos.llm.substring_dedup import _first_windows, _joined, _marks, substring_dedup
 
 
 def normal(t):
@@ -91,3 +94,30 @@ def test_substring_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(25))
     got = substring_dedup(docs(spark, [text, text, text], [4, 4, None])).collect()
     assert sorted((r.id or -1, r.n_removed) for r in got) == [(-1, 25), (4, 0), (4, 0)]
+
+
+def met_marks(ids, texts, width, buckets, rows):
+    """Document ids of the marks that each bucket of documents receives, from batches of ``rows`` rows."""
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([7] * len(ids), pa.int32()), pa.array(texts)], ["id", "key", "text"])
+    made = list(_first_windows(width, buckets)(batch.slice(i, rows) for i in range(0, len(ids), rows)))
+    packed = pa.Table.from_batches(made)
+    groups = {b: packed.filter(pc.equal(packed["bucket"], b)) for b in set(packed["bucket"].to_pylist())}
+    marks = pa.concat_tables(_marks(buckets)(g) for g in groups.values())
+    return {b: _joined(marks.filter(pc.equal(marks["bucket"], b)))[0] for b in set(marks["bucket"].to_pylist())}
+
+
+def test_marks_of_copies_spread_over_buckets():
+    text = " ".join(f"w{i}" for i in range(60))
+    found = met_marks(list(range(400)), [text] * 400, 20, 8, 50)
+    assert sum(map(len, found.values())) == 399 * 41
+    assert len(found) == 8 and max(map(len, found.values())) < 399 * 41 / 4
+    homes = [set(map(int, np.unique(ids))) for ids in found.values()]
+    assert sum(map(len, homes)) == len(set().union(*homes)) == 399
+
+
+def test_repeated_rows_add_no_marks():
+    text = " ".join(f"w{i}" for i in range(60))
+    found = met_marks([1] + [2] * 399, [text] * 400, 20, 8, 400)
+    assert sum(map(len, found.values())) == 41
+    batches = met_marks([1] + [2] * 399, [text] * 400, 20, 8, 50)
+    assert sum(map(len, batches.values())) == 2 * 41
