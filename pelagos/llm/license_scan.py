@@ -1,7 +1,11 @@
 """Licence scans: a trained paragraph classifier whose predictions a template comparison confirms.
 
-A paragraph is a line.  Its word uni-, bi- and trigrams are hashed into sparse counts, and a multinomial logistic
-regression over licence families and an unknown class gives each paragraph a probability per family.  The model is
+A paragraph is a line.  Besides whole lines, overlapping word windows around the anchors of longer lines are scored, so
+that other words of a line do not dilute a notice, and windows across each line break, for notices that are wrapped.  A
+whole line counts first, then its likeliest window, then the likeliest one across the break after it; that is reported
+as the line where it begins, and only if neither of its sides would be confirmed alone.  Word uni-, bi- and trigrams
+are hashed into sparse counts, and a multinomial logistic regression over licence families and an unknown class gives
+each line or window a probability per family.  The model is
 trained on the fixed templates below, on their cuts, joins and word-level edits, and on sentences that talk about
 licences without granting one; the acceptance threshold is calibrated on held-out variants so that at most one in a
 thousand unknown ones passes.  A prediction is reported only if a template of its family confirms it: enough of the
@@ -14,7 +18,8 @@ Every template holds one of the ANCHORS, and confirmation asks for one, so a lin
 
 Edge cases
     null or empty text   no paragraphs, nothing reported
-    very long text       every paragraph is scanned; a paragraph is compared whole
+    very long text       every paragraph is scanned, whole and in windows
+    several notices      a line reports one of them
     null id              carried through
     repeated rows, ties  every row and every paragraph is reported; of equal probabilities the first family wins
     empty table          empty result of the same columns
@@ -37,10 +42,14 @@ SLOTS = 1 << 13
 CONFIRMED = 0.7
 #: Training rows that must hold an n-gram for it to get a weight.
 LEAST_SEEN = 8
+#: Words in a window; neighbours overlap by half, and the largest is longer than any template.
+WINDOWS = (8, 16, 32, 64)
 UNKNOWN = "unknown"
 
 #: Words of which every template has at least one.
-ANCHORS = ("licen[cs]e", "licensed", "spdx", "copyright", "permission", "redistribution", "warranty", "domain", "gpl", "lgpl", "cc0", "cc by")
+ANCHORS = ("licen[cs]e", "licensed", "spdx", "copyright", "permission", "redistribution", "warranty", "domain", "gpl", "lgpl", "cc0", r"cc\s+by")
+#: The same, for a single word.
+ANCHOR_WORD = "|".join(ANCHORS).replace(r"cc\s+by", "^cc$")
 
 #: Public notices and openings of common licences, lower case, by family.
 TEMPLATES = {
@@ -229,6 +238,39 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(last >= 1, some).otherwise(F.array().cast("array<string>"))
 
 
+def _words(line: Column) -> Column:
+    plain = F.split(F.regexp_replace(F.lower(line), r"[^a-z0-9.+-]+", " "), " ")
+    return F.filter(F.transform(plain, lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+
+
+def _window(kind: int, words: Column, tail: Column) -> Column:
+    """kind: 0 a whole line, 1 a part of one, 2 the last ``tail`` words of a line and the first of the next."""
+    return F.struct(F.lit(kind).alias("kind"), words.alias("words"), tail.alias("tail"))
+
+
+def _inside(size: int) -> Column:
+    """The windows of a longer line that hold an anchor."""
+    step = size // 2
+    starts = F.transform("anchors", lambda p: F.array(p - p % step, F.greatest(p - p % step - step, F.lit(0))))
+    cut = F.transform(F.array_distinct(F.flatten(starts)), lambda s: _window(1, F.slice("words", s + 1, F.lit(size)), F.lit(0)))
+    return F.when(F.size("words") > size, cut).otherwise(F.array())
+
+
+def _across(size: int) -> Column:
+    """The window around the break after a line, if it holds an anchor."""
+    half = size // 2
+    tail = F.slice("words", F.greatest(F.size("words") - half + 1, F.lit(1)), F.lit(half))
+    words = F.concat(tail, F.slice("next", F.lit(1), F.lit(half)))
+    holds = F.exists(words, lambda w: w.rlike(ANCHOR_WORD))
+    return F.when((F.size("words") > 0) & (F.size("next") > 0) & holds, F.array(_window(2, words, F.size(tail)))).otherwise(F.array())
+
+
+def _each(lines: DataFrame, **made) -> DataFrame:
+    """``lines`` with each struct of found replaced by what the functions make of it, evaluated once."""
+    new = F.transform("old", lambda w: F.struct(*(f(w).alias(n) for n, f in made.items())))
+    return _once(lines.withColumnRenamed("found", "old"), found=new).drop("old")
+
+
 def scan_licences(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirmed: float = CONFIRMED
 ) -> DataFrame:
@@ -240,35 +282,71 @@ def scan_licences(
     size = len(model.families)
     place, table, bias = _numbers(place, "int"), _numbers(model.weights[:, used].T.ravel(), "double"), _numbers(model.bias, "double")
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = rows.where(F.col("text").rlike("(?i)" + "|".join(ANCHORS)))
-    lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.col("line").rlike("(?i)" + "|".join(ANCHORS)))
-    plain = F.split(F.regexp_replace(F.lower("line"), r"[^a-z0-9.+-]+", " "), " ")
-    words = F.filter(F.transform(plain, lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
-    lines = _once(lines, words=words).select("id", "paragraph", "words")
-    lines = _once(lines, pairs=_grams(F.col("words"), 2), triples=_grams(F.col("words"), 3))
-    grams = F.concat("words", "pairs", "triples")
-    places = F.transform(grams, lambda g: F.element_at(place, (F.pmod(F.xxhash64(g), F.lit(SLOTS)) + 1).cast("int")))
-    lines = _once(lines, seen=F.filter(places, lambda i: i > 0), n=F.size(grams)).select("id", "paragraph", "pairs", "seen", "n")
+    anchored = lambda text: text.rlike("(?i)" + "|".join(ANCHORS))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(anchored(F.col("text")))
+    rows = _once(rows, lines=F.split("text", "\n")).select("id", "lines")
+    pairs = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.get("lines", i + 1).alias("after")))
+    lines = rows.select("id", F.posexplode(pairs).alias("paragraph", "at")).select("id", "paragraph", "at.line", "at.after")
+    lines = lines.where(anchored(F.concat_ws(" ", "line", "after"))).withColumn("whole", anchored(F.col("line")))
+    lines = _once(lines, words=_words(F.col("line")), next=_words(F.coalesce("after", F.lit("")))).drop("line", "after")
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(ANCHOR_WORD))
+    lines = _once(lines, anchors=places)
+    whole = F.when(F.col("whole"), F.array(_window(0, F.col("words"), F.lit(0)))).otherwise(F.array())
+    cuts = [part(size) for part in (_inside, _across) for size in WINDOWS]
+    lines = _once(lines, found=F.concat(whole, *cuts)).select("id", "paragraph", "found").where(F.size("found") > 0)
+
+    same = {n: (lambda w, n=n: w[n]) for n in ("kind", "tail", "words", "pairs", "logits", "best", "probability")}
+    keep = lambda *names: {n: same[n] for n in names}
+    lines = _each(lines, **keep("kind", "tail", "words"), pairs=lambda w: _grams(w["words"], 2), triples=lambda w: _grams(w["words"], 3))
+    place_of = lambda g: F.element_at(place, (F.pmod(F.xxhash64(g), F.lit(SLOTS)) + 1).cast("int"))
+    seen = lambda w: F.filter(F.transform(F.concat(w["words"], w["pairs"], w["triples"]), place_of), lambda i: i > 0)
+    count = lambda w: F.size(w["words"]) + F.size(w["pairs"]) + F.size(w["triples"])
+    lines = _each(lines, **keep("kind", "tail", "words", "pairs"), seen=seen, n=count)
     row_of = lambda i: F.slice(table, (i - 1) * size + 1, F.lit(size))
     start = F.array_repeat(F.lit(0.0), size)
-    totals = F.aggregate("seen", start, lambda s, i: F.zip_with(s, row_of(i), lambda x, w: x + w))
-    share = F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))
-    lines = _once(lines, logits=F.zip_with(totals, bias, lambda x, b: x / share + b)).select("id", "paragraph", "pairs", "logits")
-    top = F.array_max("logits")
-    total = F.aggregate(F.transform("logits", lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)
-    lines = _once(lines, best=F.array_position("logits", top).cast("int"), probability=1 / total)
-    lines = lines.where((F.col("best") < size) & (F.col("probability") >= model.threshold))  # unknown comes last
+    totals = lambda w: F.aggregate(w["seen"], start, lambda s, i: F.zip_with(s, row_of(i), lambda x, y: x + y))
+    share = lambda w: F.sqrt(F.greatest(w["n"], F.lit(1)).cast("double"))
+    lines = _each(lines, **keep("kind", "tail", "words", "pairs"), totals=totals, share=share)
+    logits = lambda w: F.zip_with(w["totals"], bias, lambda x, b: x / w["share"] + b)
+    lines = _each(lines, **keep("kind", "tail", "words", "pairs"), logits=logits)
+    top = lambda w: F.array_max(w["logits"])
+    lines = _each(lines, **keep("kind", "tail", "words", "pairs", "logits"), top=top)
+    best = lambda w: F.array_position(w["logits"], w["top"]).cast("int")
+    total = lambda w: F.aggregate(F.transform(w["logits"], lambda x: F.exp(x - w["top"])), F.lit(0.0), lambda s, x: s + x)
+    lines = _each(lines, **keep("kind", "tail", "words", "pairs"), best=best, probability=lambda w: 1 / total(w))
+    likely = F.filter("old", lambda w: (w["best"] < size) & (w["probability"] >= model.threshold))  # unknown comes last
+    lines = _once(lines.withColumnRenamed("found", "old"), found=likely)
+    lines = lines.drop("old").where(F.size("found") > 0)
 
     templates = F.lit([[sorted(set(grams_of(words_of(t), (2,)))) for t in own] for own in TEMPLATES.values()])
-    distinct = F.size(F.array_distinct("pairs"))
-
-    def likeness(own: Column) -> Column:
-        shared = F.size(F.array_intersect("pairs", own))
-        part = F.when(F.size("pairs") >= 6, shared / distinct).otherwise(0.0)
-        return F.greatest(shared / F.size(own), part)
 
-    similarity = F.array_max(F.transform(F.element_at(templates, F.col("best")), likeness))
-    found = _once(lines, family=F.element_at(F.lit(list(model.families)), F.col("best")), similarity=similarity)
-    return found.where(F.col("similarity") >= confirmed).select("id", "paragraph", "family", "probability", "similarity")
+    def similarity(best: Column, pairs: Column) -> Column:
+        def likeness(own: Column) -> Column:
+            shared = F.size(F.array_intersect(pairs, own))
+            part = F.when(F.size(pairs) >= 6, shared / F.size(F.array_distinct(pairs))).otherwise(0.0)
+            return F.greatest(shared / F.size(own), part)
+
+        return F.array_max(F.transform(F.element_at(templates, best), likeness))
+
+    before = lambda w: F.slice(w["pairs"], F.lit(1), F.greatest(w["tail"] - 1, F.lit(0)))
+    after = lambda w: F.slice(w["pairs"], w["tail"] + 1, F.size(w["pairs"]))
+
+    def side(w: Column) -> Column:
+        """The greater similarity of the two sides of a break."""
+        return F.when(w["kind"] == 2, F.greatest(similarity(w["best"], before(w)), similarity(w["best"], after(w)))).otherwise(0.0)
+
+    def joins(w: Column) -> Column:
+        """Whether both sides of a break, or the words at it, are from templates of the family."""
+        own = F.flatten(F.element_at(templates, w["best"]))
+        at = F.array_contains(own, F.get(w["pairs"], w["tail"] - 1))
+        return (w["kind"] < 2) | at | (F.arrays_overlap(before(w), own) & F.arrays_overlap(after(w), own))
+
+    like = lambda w: similarity(w["best"], w["pairs"])
+    lines = _each(lines, **keep("kind", "best", "probability"), similarity=like, side=side, joins=joins)
+    lines = _once(lines, alone=F.transform(F.filter("found", lambda w: w["side"] >= confirmed), lambda w: w["best"]))
+    split = lambda w: (w["kind"] < 2) | ~F.array_contains("alone", w["best"])
+    sure = F.filter("found", lambda w: (w["similarity"] >= confirmed) & w["joins"] & split(w))
+    order = F.transform(sure, lambda w: F.struct(w["kind"], (-w["probability"]).alias("p"), (-w["similarity"]).alias("s"), w["best"]))
+    first = _once(lines, hit=F.array_min(order)).where(F.col("hit").isNotNull())
+    family = F.element_at(F.lit(list(model.families)), F.col("hit.best")).alias("family")
+    return first.select("id", "paragraph", family, (-F.col("hit.p")).alias("probability"), (-F.col("hit.s")).alias("similarity"))

@@ -53,6 +53,27 @@ def test_licences(spark):
     assert not any(i in want for i in range(len(AWKWARD) + len(LICENCES), len(AWKWARD) + len(LICENCES) + len(license_scan.TALK)))
 
 
+def test_licences_in_long_and_across_lines(spark):
+    rng = np.random.default_rng(5)
+    other = lambda n: " ".join(rng.choice(["river", "house", "green", "walk", "long", "the", "of", "and"], n))
+    texts, want = [], {}
+    for family, notice in LICENCES.items():
+        for before in (0, 3, 250, 493, 600):
+            want[len(texts)] = [(0, family)]
+            texts.append(f"{other(before)} {notice} {other(500 - min(before, 490))}")
+    for family in ("apache-2.0", "mit", "cc-by-nc", "gpl"):
+        words = LICENCES[family].split()
+        for around in (0, 200):
+            half = len(words) // 2
+            want[len(texts)] = [(2 if family == "gpl" and around else 1, family)]  # a window of its second line is enough alone
+            texts.append(f"{other(30)}\n{other(around)} {' '.join(words[:half])}\n{' '.join(words[half:])} {other(around)}\nend")
+    texts += [other(500), f"{other(200)} {' '.join(license_scan.TALK)} {other(200)}", "\n".join(license_scan.TALK), "license\n\nlicense"]
+    got = {}
+    for r in license_scan.scan_licences(docs(spark, texts)).collect():
+        got.setdefault(r.id, []).append((r.paragraph, r.family))
+    assert got == want
+
+
 def test_licence_plan_has_no_python(spark):
     plan = license_scan.scan_licences(docs(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1].split("LogicalRDD")[0].replace("RoundRobin", "")[:200]
