@@ -7,7 +7,7 @@ Windows count rows of the shared calendar, missing values included, so the panel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagos.functions.elementwise import INF, over
@@ -36,6 +36,12 @@ def at_least(k: int, seen: Column, w, value: Column) -> Column:
     return F.when(F.count(seen).over(w) >= k, value)
 
 
+def let(make, **parts: Column) -> Column:
+    """``make`` of a struct of ``parts``, each evaluated once: repeated window expressions would each be computed."""
+    bound = F.array(F.struct(*(c.alias(n) for n, c in parts.items())))
+    return F.get(F.transform(bound, make), F.lit(0))
+
+
 def ts_sum(x: Column, n: int = 10) -> Column:
     return F.sum(x).over(trailing(n))
 
@@ -136,19 +142,25 @@ def bars_since_max(x: Column, n: int = 10) -> Column:
 def skewness(x: Column, n: int = 10) -> Column:
     """Bias-adjusted, from three values; zero for a constant window."""
     w = trailing(n)
-    k = F.count(x).over(w)
-    adjusted = F.skewness(x).over(w) * F.sqrt(k * (k - 1)) / F.when(k > 2, k - 2)
-    flat = F.min(x).over(w) == F.max(x).over(w)
-    return F.when((k >= 3) & flat, F.lit(0.0)).when(k >= 3, adjusted)
+
+    def adjusted(s: Column) -> Column:
+        k = s["k"]
+        made = s["raw"] * F.sqrt(k * (k - 1)) / F.when(k > 2, k - 2)
+        return F.when((k >= 3) & (s["low"] == s["high"]), F.lit(0.0)).when(k >= 3, made)
+
+    return let(adjusted, k=F.count(x).over(w), raw=F.skewness(x).over(w), low=F.min(x).over(w), high=F.max(x).over(w))
 
 
 def kurtosis(x: Column, n: int = 10) -> Column:
     """Bias-adjusted excess, from four values; -3 for a constant window."""
     w = trailing(n)
-    k = F.count(x).over(w)
-    adjusted = (k - 1) / F.when(k > 3, (k - 2) * (k - 3)) * ((k + 1) * F.kurtosis(x).over(w) + 6)
-    flat = F.min(x).over(w) == F.max(x).over(w)
-    return F.when((k >= 4) & flat, F.lit(-3.0)).when(k >= 4, adjusted)
+
+    def adjusted(s: Column) -> Column:
+        k = s["k"]
+        made = (k - 1) / F.when(k > 3, (k - 2) * (k - 3)) * ((k + 1) * s["raw"] + 6)
+        return F.when((k >= 4) & (s["low"] == s["high"]), F.lit(-3.0)).when(k >= 4, made)
+
+    return let(adjusted, k=F.count(x).over(w), raw=F.kurtosis(x).over(w), low=F.min(x).over(w), high=F.max(x).over(w))
 
 
 def ts_zscore(x: Column, n: int = 10) -> Column:
@@ -240,10 +252,28 @@ def last_different(x: Column, n: int = 10) -> Column:
     return F.when(F.size(other) > 0, F.get(other, F.lit(0))["v"])
 
 
-def change_run(x: Column) -> Column:
-    """Run number along the series; a missing value, before or now, starts a run.  Window over it with ``since``."""
-    prior = F.lag(x).over(series())
-    return F.coalesce(x != prior, F.lit(True)).cast("int")
+def changed(x: Column) -> Column:
+    """1 where the value is not the one before; a missing value, before or now, counts as a change."""
+    return F.coalesce(x != F.lag(x).over(series()), F.lit(True)).cast("int")
+
+
+def with_change_run(panel: DataFrame, field: str, out: str = "run") -> DataFrame:
+    """``panel`` with the number of the field's run of equal values, from 1; a missing value is a run of its own."""
+    made = panel.withColumn("_changed", changed(F.col(field)))
+    return made.withColumn(out, F.sum("_changed").over(so_far())).drop("_changed")
+
+
+def with_days_from_last_change(panel: DataFrame, field: str, out: str = "days") -> DataFrame:
+    """``panel`` with the rows since the field last changed; zero on a change and on missing values."""
+    made = with_change_run(panel, field, "_run")
+    return made.withColumn(out, F.row_number().over(Window.partitionBy(KEY, "_run").orderBy(TIME)) - 1).drop("_run")
+
+
+def with_moment(panel: DataFrame, field: str, n: int = 10, k: int = 2, out: str = "moment") -> DataFrame:
+    """``panel`` with the rolling mean of the k-th power of the gap to each row's own rolling mean, from two values."""
+    w = trailing(n)
+    made = panel.withColumn("_gap", F.col(field) - at_least(2, F.col(field), w, F.avg(field).over(w)))
+    return made.withColumn(out, at_least(2, F.col("_gap"), w, F.avg(F.pow("_gap", F.lit(k))).over(w))).drop("_gap")
 
 
 def running_total(x: Column) -> Column:
@@ -263,8 +293,8 @@ def forward_return(x: Column) -> Column:
     return over(F.lead(x).over(series()), x) - 1
 
 
-def pct_change(x: Column, pad: bool = True) -> Column:
-    """Relative change; with ``pad`` the last present value stands in for a missing one, so name it first."""
+def pct_change(x: Column) -> Column:
+    """Relative change from the row before; name ``padded(x)`` first where a missing value should repeat the last one."""
     return over(x, F.lag(x).over(series())) - 1
 
 

@@ -47,7 +47,7 @@ def section_regression(panel: DataFrame, y: str, x: str, least: int = 15) -> Dat
 def newey_west(premia: DataFrame, value: str = "slope", lags: int = 6) -> DataFrame:
     """Second pass: one row with mean, Newey-West standard error (Bartlett weights), t statistic and n of a series.
 
-    The series has one row per time, so one ordered window over it is small.
+    The series has one row per time, so one ordered window over it is small.  An empty series has n zero and no mean.
     """
     mean = premia.agg(F.avg(value).alias("mean"))
     series = premia.where(F.col(value).isNotNull()).select("ts", F.col(value).alias("x")).join(F.broadcast(mean))
@@ -57,8 +57,8 @@ def newey_west(premia: DataFrame, value: str = "slope", lags: int = 6) -> DataFr
     total = F.sum(F.col("e") * F.col("e"))
     for k in range(1, lags + 1):
         total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("e") * F.col(f"l{k}")), F.lit(0.0))
-    made = lagged.agg(F.first("mean").alias("mean"), (total / F.count("*")).alias("v"), F.count("*").alias("n"))
-    se = F.sqrt(F.greatest(F.col("v"), F.lit(0.0)) / F.col("n"))
+    made = lagged.agg(F.first("mean").alias("mean"), total.alias("v"), F.count("*").alias("n"))
+    se = F.sqrt(over(F.greatest(over(F.col("v"), F.col("n")), F.lit(0.0)), F.col("n")))
     return made.select("mean", se.alias("se"), over(F.col("mean"), se).alias("t"), "n")
 
 

@@ -26,14 +26,8 @@ def ewm_mean(panel: DataFrame, field: str, alpha: float, out: str = "ewm", keys:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        top = bottom = 0.0
-        made = []
-        for x in pdf[field].astype(float):
-            top, bottom = top * (1 - alpha), bottom * (1 - alpha)
-            if not math.isnan(x):
-                top, bottom = top + x, bottom + 1
-            made.append(top / bottom if bottom else None)
-        return pdf.assign(**{out: made})
+        made = pdf[field].astype(float).ewm(alpha=alpha, adjust=True, ignore_na=False).mean()
+        return pdf.assign(**{out: made.astype(object).where(made.notna(), None)})
 
     return panel.groupBy(*keys).applyInPandas(run, _extended(panel, out))
 

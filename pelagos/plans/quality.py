@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +80,12 @@ def integrity_report(panel: DataFrame, fields: list[str], warn: float = 0.02, fa
 
 
 def cross_checks(panel: DataFrame) -> DataFrame:
-    """Counts of bars that break the order of open, high, low and close, or carry no volume."""
+    """Counts of bars that break the order of open, high, low and close, or carry no volume; one pass."""
     broken = {
         "high_below_low": F.col("high") < F.col("low"),
         "close_outside": (F.col("close") > F.col("high")) | (F.col("close") < F.col("low")),
         "open_outside": (F.col("open") > F.col("high")) | (F.col("open") < F.col("low")),
         "no_volume": F.col("close").isNotNull() & (F.coalesce("volume", F.lit(0.0)) <= 0),
     }
-    parts = [panel.agg(F.lit(n).alias("rule"), F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias("n")) for n, c in broken.items()]
-    return reduce(DataFrame.unionByName, parts)
+    counts = panel.agg(*(F.count_if(c).alias(n) for n, c in broken.items()))
+    return counts.unpivot([], list(broken), "rule", "n")

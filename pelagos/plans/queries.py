@@ -30,10 +30,10 @@ FLAGSHIP = "backtest_metrics"
 
 PANEL_SQL = """
 t AS (SELECT date_trunc('month', l_shipdate) AS ts, l_suppkey AS inst, l_extendedprice / l_quantity AS p, l_quantity AS q, l_extendedprice AS d,
-        row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS o FROM lineitem),
+        ((day(l_shipdate) * 1099511627776 + l_orderkey) * 8 + l_linenumber) * 32768 + CAST(round(l_extendedprice * 100) AS BIGINT) % 32768 AS o FROM lineitem),
 b AS (SELECT ts, inst, arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS close, sum(q) AS volume, sum(d) AS dollars FROM t GROUP BY ts, inst),
 g AS (SELECT s_suppkey AS inst, s_nationkey AS industry, n_regionkey AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-c AS (SELECT DISTINCT ts FROM b),
+c AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 MONTH)) AS ts FROM b),
 panel AS (SELECT g.inst, c.ts, industry, sector, open, high, low, close, volume, dollars, dollars / volume AS vwap
           FROM g CROSS JOIN c LEFT JOIN b ON g.inst = b.inst AND c.ts = b.ts)"""
 PANEL_KEYS = "CAST(ts AS DATE) AS ts, inst"
@@ -299,7 +299,7 @@ _HAC = " + ".join(f"2 * {1 - k / 7!r} * coalesce(sum(e * l{k}), 0)" for k in ran
 
 
 @register("fama_macbeth_newey_west", f"""{_FM}, e AS (SELECT ts, avg(slope) OVER () AS mean, slope - avg(slope) OVER () AS e FROM f), l AS (SELECT *, {_LAGS} FROM e),
-v AS (SELECT any_value(mean) AS mean, sqrt(greatest((sum(e * e) + {_HAC}) / count(*), 0) / count(*)) AS se, count(*) AS n FROM l)
+v AS (SELECT any_value(mean) AS mean, sqrt(greatest((sum(e * e) + {_HAC}) / nullif(count(*), 0), 0) / nullif(count(*), 0)) AS se, count(*) AS n FROM l)
 SELECT round(mean, 6) AS mean, round(se, 6) AS se, round(mean / se, 6) AS t, n FROM v""")
 def fama_macbeth_newey_west(spark, sf_dir):
     made = agg.newey_west(agg.section_regression(_signal_panel(spark, sf_dir), "ret", "signal"))
@@ -555,8 +555,8 @@ def decay_finite(spark, sf_dir):
     return keyed(src.monthly_panel(spark, sf_dir), *rounded(decayed=ts.decay_finite(_c("close"), 0.9, 10)))
 
 
-@register("risk_residuals", f"""WITH {PANEL_SQL}, s AS (SELECT ts AS st, regr_slope(close, volume) AS b, regr_intercept(close, volume) AS a FROM panel GROUP BY ts)
-SELECT CAST(ts AS DATE) AS ts, inst, round(close - a - b * volume, 5) AS residual FROM panel JOIN s ON ts = st""")
+@register("risk_residuals", f"""WITH {PANEL_SQL}, s AS (SELECT ts AS st, regr_slope(close, volume) AS b, regr_intercept(close, volume) AS a, count(close + volume) AS k FROM panel GROUP BY ts)
+SELECT CAST(ts AS DATE) AS ts, inst, round(CASE WHEN k >= 10 THEN close - a - b * volume ELSE close END, 5) AS residual FROM panel JOIN s ON ts = st""")
 def risk_residuals(spark, sf_dir):
     panel = src.monthly_panel(spark, sf_dir).select("ts", "inst", "close", "volume")
     return keyed(sequential.risk_residuals(panel, "close", ["volume"]), F.round("residual", 5).alias("residual"))
@@ -606,13 +606,13 @@ def stream_candles(spark, sf_dir):
 
 
 _CATALOG = """alphas AS (SELECT p_partkey AS id, p_name AS expression, p_type AS category, p_size > 45 AS archived FROM part),
-evaluations AS (SELECT o_orderkey AS id, o_custkey % 300 + 1 AS alpha_id, round(o_totalprice / 1e5, 4) AS sharpe, o_orderdate AS evaluated_at FROM orders)"""
+evaluations AS (SELECT o_orderkey AS id, o_custkey % 300 + 1 AS alpha_id, o_totalprice / 1e5 AS sharpe, o_orderdate AS evaluated_at FROM orders)"""
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "orders"))
     alphas = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("expression"), F.col("p_type").alias("category"), (F.col("p_size") > 45).alias("archived"))
-    seen = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 300 + 1).alias("alpha_id"), F.round(F.col("o_totalprice") / 1e5, 4).alias("sharpe"), F.col("o_orderdate").alias("evaluated_at"))
+    seen = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 300 + 1).alias("alpha_id"), (F.col("o_totalprice") / 1e5).alias("sharpe"), F.col("o_orderdate").alias("evaluated_at"))
     return alphas, seen
 
 

@@ -2,12 +2,15 @@
 
 ``written`` cuts lineage by writing a DataFrame as Parquet and reading it again, so a lost executor costs a re-read
 of files and never the work behind them.  The folder is the one named by ``spark.checkpoint.dir``; only a local
-session that names none gets a temporary folder of its own.
+session that names none gets a temporary folder of its own, which goes when its driver ends.  In the shared folder the
+tables stay until ``clear``, as results that were returned may still read them.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -26,9 +29,12 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _local.setdefault(app, tempfile.mkdtemp(prefix="pelagos-"))
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="pelagos-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        base = _local[app]
     return f"{base.rstrip('/')}/pelagos/{app}"
 
 

@@ -7,26 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pelagos.scratch import written
+
 
 def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months by suppliers from order lines, dense: open, high, low, close, volume, dollars, vwap and groups.
 
-    The unit price is the price; open and close are the first and last of the month in the order of the whole line,
-    as order and line number are no key.
+    The unit price is the price; open and close are the first and last of the month by day, order, line number and the
+    low bits of the price, packed into one long so that the aggregate stays hash-based.  The bars are written once: the
+    grid needs their first and last month, and the order lines are then scanned a single time.
     """
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    price = (F.col("l_extendedprice") / F.col("l_quantity")).alias("p")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long") % (1 << 15)
+    packed = F.shiftleft(F.shiftleft(F.dayofmonth("l_shipdate").cast("long"), 40) + F.col("l_orderkey"), 3) + F.col("l_linenumber")
+    packed = F.shiftleft(packed, 15) + cents
     ticks = line.select(
-        F.date_trunc("month", "l_shipdate").alias("ts"), F.col("l_suppkey").alias("inst"), price, order.alias("o"),
+        F.date_trunc("month", "l_shipdate").alias("ts"), F.col("l_suppkey").alias("inst"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), packed.alias("o"),
         F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("d"),
     )
     bars = ticks.groupBy("ts", "inst").agg(
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"),
         F.sum("q").alias("volume"), F.sum("d").alias("dollars"),
     )
-    bars = bars.withColumn("vwap", F.col("dollars") / F.col("volume"))
-    return densify(bars, groups(spark, sf_dir))
+    bars = written(bars.withColumn("vwap", F.col("dollars") / F.col("volume")), "bars")
+    return densify(bars, groups(spark, sf_dir), "1 month")
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,15 +42,22 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("s_suppkey").alias("inst"), F.col("s_nationkey").alias("industry"), F.col("n_regionkey").alias("sector"))
 
 
-def densify(facts: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Every instrument at every time of the calendar, facts missing where there are none.
+def densify(facts: DataFrame, instruments: DataFrame, step: str) -> DataFrame:
+    """Every instrument at every time from the first fact to the last, ``step`` apart; missing where there is no fact.
 
-    The calendar is exploded into each instrument's row, so the grid is made next to its instruments and meets the facts
-    in one join on (inst, ts).
+    ``facts`` has unique (inst, ts); facts of other instruments are left out.  The times are made in each instrument's
+    row, the only thing that reaches the driver is the first and the last one, and grid and facts meet in one exchange
+    by instrument, which the windows along an instrument then find in place.
     """
-    calendar = facts.agg(F.sort_array(F.collect_set("ts")).alias("calendar"))
-    grid = instruments.join(F.broadcast(calendar)).select("*", F.explode("calendar").alias("ts")).drop("calendar")
-    return grid.join(facts, ["inst", "ts"], "left")
+    first, last = facts.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    at = lambda micros: F.timestamp_micros(F.lit(micros).cast("long"))
+    times = F.explode(F.sequence(at(first), at(last), F.expr(f"INTERVAL {step}")))
+    grid = instruments.select("*", F.lit(1).alias("on_grid"), times.alias("ts"))
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: windows cost more than their bytes tell
+    both = grid.unionByName(facts, allowMissingColumns=True).repartition(tasks, "inst")
+    values = [c for c in both.columns if c not in ("inst", "ts")]
+    made = both.groupBy("inst", "ts").agg(*(F.max(c).alias(c) for c in values))
+    return made.where(F.col("on_grid").isNotNull()).drop("on_grid")
 
 
 def from_wide(wide: DataFrame, field: str, time: str = "ts") -> DataFrame:

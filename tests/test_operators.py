@@ -129,7 +129,9 @@ def test_wide_round_trip(spark, panel, wide):
 def test_densify_and_upsert(spark):
     facts = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "ts int, inst string, x double")
     names = spark.createDataFrame([("a",), ("b",), ("c",)], "inst string")
-    assert src.densify(facts, names).count() == 6
+    timed = facts.withColumn("ts", F.timestamp_seconds(F.col("ts") * 86400))
+    assert src.densify(timed, names, "1 day").count() == 6
+    assert src.densify(timed.where("x > 5"), names, "1 day").count() == 0
     fresh = spark.createDataFrame([(2, "b", 9.0)], "ts int, inst string, x double")
     assert {(r.ts, r.x) for r in src.upsert(facts, fresh, ["ts", "inst"]).collect()} == {(1, 1.0), (2, 9.0)}
 
