@@ -45,6 +45,30 @@ def test_repeated_rows_leave_one(spark):
     assert [r.doc_id for r in drop_exact_duplicates(docs(spark, ["q"] * 4, [2, 2, 2, 7])).collect()] == [2]
 
 
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_exact_agrees_with_and_without_broadcast(spark, monkeypatch, few):
+    from pelagos.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", few)
+    long_text = "word " * 200_000
+    texts = [long_text, long_text + "x", long_text, "a b", "a  b", "unique", None, "", "c" * 99 + "1", "c" * 99 + "2"]
+    df = docs(spark, texts, [9, 8, 7, None, 3, 2, None, None, 5, 5])
+    for every in (True, False):
+        got = sorted((r.id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup(df, digest_all=every).collect())
+        want = [(-1, -1, 2, True), (-1, -1, 2, True), (-1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (5, 5, 1, True), (5, 5, 1, True)]
+        assert got == sorted([*want, (7, 7, 2, True), (8, 8, 1, True), (9, 7, 2, False)])
+    kept = sorted((r.doc_id or -1, len(r.text or "")) for r in drop_exact_duplicates(df).collect())
+    assert [i for i, _ in kept] == [-1, -1, 2, 3, 5, 5, 7, 8]
+
+
+def test_only_survivors_are_hashed_in_full(spark):
+    from pelagos.llm.exact_dedup import _Levels
+
+    found = _Levels(docs(spark, ["aa", "bb", "bb", "ccc", "x" * 80 + "1", "x" * 80 + "2"]), "doc_id", "text", 64)
+    assert sorted(r.id for r in found.alike.collect()) == [0, 1, 2, 4, 5]
+    assert sorted(r.id for r in found.hashed.collect()) == [1, 2, 4, 5]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert exact_dedup(empty).count() == 0
