@@ -1,19 +1,20 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-1. Each task hashes all windows of its documents (two independent rolling hashes).  A window whose hash came
-   earlier in the same batch is repeated for certain and is reported at once; the first window of each hash goes on.
-2. First windows are shuffled by hash bucket, packed as compressed columns, and each bucket marks the windows whose
-   hash another document with a smaller id holds too.  The number of buckets follows the text volume, so a bucket has a
-   bounded size, and a hash reaches its bucket once per batch at most, however common it is.
-3. Marked positions meet by document bucket, merge into maximal removal intervals, and cut the text.  A document's
-   bucket comes from its id and its text together, so the copies of one text spread over all buckets.
+1. Each task hashes all windows of its documents with two independent rolling hashes.  Within a batch only the earliest
+   window of each hash goes on to be counted; the others are marked at once, as they start earlier in the same batch.
+2. The windows are shuffled by hash and Spark ranks those of one hash by document and position: every rank past the
+   first starts earlier elsewhere.  Ranking streams through a sorted partition, and a hash reaches it once per batch at
+   most, however many documents hold it.  The number of partitions follows the text volume.
+3. Marked positions meet by document and merge into maximal removal intervals, which cut the text.
 
-Windows are compared by 80 bits of hash: 64 to meet, 16 of an independent hash to confirm.
+Windows count as equal when both hashes are: 64 and 32 bits.  Over the 1.7 * 10**13 windows of 100 TB of text that
+leaves an expected 0.002 pairs of different windows that agree; words are not compared beyond that.
 
 Edge cases
     null or empty text   no words: nothing removed, kept text empty
     fewer words than a window   nothing removed
-    very long text       hashed whole; its windows spread over all buckets
+    very long text       hashed whole; its windows spread over all partitions
+    id of any type that sorts   compared as Spark sorts it
     null id              sorts after all ids
     one id, many texts   told apart by a 32-bit hash of the text, which also orders them
     repeated rows        rows with equal id and equal text are one document, each returned with the same result
@@ -27,160 +28,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagos.llm.words import BASE, split_words, window_hashes, window_starts, word_hashes
-from pelagos.scratch import release, written
+from pelagos.llm.words import bounded, split_words, window_hashes, window_starts, word_hashes
+from pelagos.scratch import written
 
 WINDOW_WORDS = 20
-BUCKET_BYTES = 16 << 20
+#: Text per partition of windows.
+PARTITION_BYTES = 16 << 20
+#: Documents and removal intervals that are sent to every executor, about 100 and 50 bytes each.
+BROADCAST_ROWS, BROADCAST_SPANS = 1 << 18, 1 << 19
 _ROWS = 2048
-_NO_ID = np.iinfo(np.int64).max
-_CODEC = "zstd"
-_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-_PACKED = "bucket int, n int, docs int, size int, side binary, hashes binary"
+_SPANS = "array<struct<begin: long, end: long>>"
 
 
-def _pack(ids: np.ndarray, keys: np.ndarray, runs: np.ndarray, at: np.ndarray) -> tuple[bytes, int]:
-    """Document ids, text keys, windows per document and positions, as gaps with their bytes laid out in planes."""
-    gaps = np.diff(at, prepend=0).astype("<i4")
-    raw = b"".join([ids.astype("<i8").tobytes(), keys.astype("<i4").tobytes(), runs.astype("<i4").tobytes(), gaps.view("u1").reshape(-1, 4).T.tobytes()])
-    return pa.compress(raw, codec=_CODEC, asbytes=True), len(raw)
+def _ranked(ids: pa.Array) -> np.ndarray:
+    """Dense ranks of ids, null last."""
+    return np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense")).astype(np.int64)
 
 
-def _unpack(side: bytes, size: int, docs: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Id, text key and position of each window."""
-    raw = pa.decompress(side, size, codec=_CODEC)
-    ids = np.frombuffer(raw, "<i8", docs)
-    keys, runs = np.frombuffer(raw, "<i4", docs, 8 * docs), np.frombuffer(raw, "<i4", docs, 12 * docs)
-    planes = np.frombuffer(raw, "u1", 4 * n, 16 * docs).reshape(4, n)
-    at = np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int64)
-    return np.repeat(ids, runs), np.repeat(keys, runs), at.astype(np.int32)
+def batch_windows(ids: pa.Array, keys: np.ndarray, texts: pa.Array, width: int) -> tuple[np.ndarray, ...]:
+    """Windows of a batch: hash, second hash, its row, its position, and whether one of the batch starts earlier.
 
-
-def _windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of a batch: hash, 16 bits of a second hash, its text's index and its position in the text."""
-    words, bounds = split_words(texts)
+    Rows of equal id and key are one document; only the first of them is read.
+    """
+    rank = _ranked(ids)
+    order = np.lexsort((keys, rank))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(rank[order]) != 0) | (np.diff(keys[order]) != 0)
+    own = order[new]
+    words, bounds = split_words(texts.take(pa.array(own)))
     starts, text = window_starts(bounds, width)
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.uint16), text, starts
-    one, two = (window_hashes(word_hashes(words, seed), width) for seed in (1, 2))
-    return one[starts], two[starts].astype(np.uint16), text, (starts - bounds[:-1][text]).astype(np.int32)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    one, two = (window_hashes(word_hashes(words, seed), width)[starts] for seed in (1, 2))
+    two = two.astype(np.uint32)
+    at = starts - bounds[:-1][text]
+    by_hash = np.lexsort((two, one))  # stable: windows stand in the order of documents and positions
+    again = np.zeros(len(starts), bool)
+    again[by_hash[1:]] = (np.diff(one[by_hash]) == 0) & (np.diff(two[by_hash]) == 0)
+    return one.view(np.int64), two.view(np.int32), own[text], at, again
 
 
-def _first_windows(width: int, buckets: int):
-    """Task body of step 1: rows of first windows by bucket, and of windows repeated within a batch."""
+def _windows(width: int):
+    """Task body of step 1: one row per window; a null second hash says that it is marked already."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        for batch in bounded(batches, 2, _ROWS):
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            # documents in the order that decides what is earlier; rows of equal id and text share a rank
-            ranked = np.lexsort((keys, ids))
-            ids, keys = ids[ranked], keys[ranked]
-            rank = np.cumsum(np.diff(ids, prepend=ids[:1]).astype(bool) | np.diff(keys, prepend=keys[:1]).astype(bool))
-            one, two, text, at = _windows(batch.column(2).take(pa.array(ranked)), width)
-            order = np.argsort(one, kind="stable")
-            h, g = one[order], two[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            earlier = (rank[text[order]] != rank[text[head]]) | (at[order] != at[head])
-            first, again = np.sort(order[new]), np.sort(order[~new & earlier])
-            again = again[np.unique(np.stack([rank[text[again]], at[again]]), axis=1, return_index=True)[1]]  # repeated rows
-            share = ((one[first] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            pieces = [(p, first[p]) for p in _runs(np.argsort(share, kind="stable"), share)]
-            rows = [(int(share[p[0]]), w, one[w].tobytes() + two[w].tobytes()) for p, w in pieces]
-            share = -1 - _share(ids[text[again]], keys[text[again]], buckets)
-            rows += [(int(share[p[0]]), again[p], b"") for p in _runs(np.argsort(share, kind="stable"), share)]
-            yield _rows(rows, ids[text], keys[text], at)
+            one, two, row, at, again = batch_windows(batch.column(0), keys, batch.column(2), width)
+            place = (keys[row].astype(np.int64) << 32) | at
+            # a marked window needs no meeting: it goes where the others of its document and batch go
+            spread = (row + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[row].astype(np.uint64)
+            columns = [
+                pa.array(np.where(again, spread.view(np.int64), one)),
+                pa.array(two, mask=again),
+                batch.column(0).take(pa.array(row)),
+                pa.array(place),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "id", "place"])
 
     return hashed
 
 
-def _runs(order: np.ndarray, *keys: np.ndarray) -> list[np.ndarray]:
-    """``order`` cut where one of the keys changes along it."""
-    change = np.zeros(max(len(order) - 1, 0), bool)
-    for key in keys:
-        change |= np.diff(key[order]).astype(bool)
-    return np.split(order, np.flatnonzero(change) + 1) if len(order) else []
-
-
-def _joined(table: pa.Table) -> list[np.ndarray]:
-    """Id, text key, position and, where they travel, both hashes of all windows of packed rows."""
-    parts = []
-    for r in table.to_pylist():
-        n, sums = r["n"], r["hashes"]
-        parts.append(_unpack(r["side"], r["size"], r["docs"], n))
-        if sums:
-            parts[-1] += (np.frombuffer(sums, "<u8", n), np.frombuffer(sums, "<u2", n, 8 * n))
-    return [np.concatenate(c) for c in zip(*parts, strict=True)]
-
-
-def _share(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket in which a document's marks meet."""
-    mixed = ids.astype(np.uint64) * BASE ^ keys.astype(np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-
-
-def _rows(windows: list[tuple[int, np.ndarray, bytes]], ids, keys, at) -> pa.RecordBatch:
-    """Packed rows of (bucket, windows, hashes); the windows of a row stand in the order of their documents."""
-    made = []
-    for bucket, where, sums in windows:
-        change = np.flatnonzero(np.diff(ids[where]).astype(bool) | np.diff(keys[where]).astype(bool)) + 1
-        begin = np.concatenate([[0], change])
-        side, size = _pack(ids[where[begin]], keys[where[begin]], np.diff(np.append(begin, len(where))), at[where])
-        made.append({"bucket": bucket, "n": len(where), "docs": len(begin), "size": size, "side": side, "hashes": sums})
-    kinds = [(c, pa.int32()) for c in ("bucket", "n", "docs", "size")] + [("side", pa.binary()), ("hashes", pa.binary())]
-    return pa.RecordBatch.from_pylist(made, pa.schema(kinds))
-
-
-def _marks(buckets: int):
-    """Task body of step 2, for one bucket: windows that start earlier elsewhere, packed by their documents' bucket."""
-
-    def marked(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        if bucket < 0:  # repeated within a batch, and packed by document already
-            return table.set_column(0, "bucket", pa.array([-1 - bucket] * table.num_rows, pa.int32()))
-        ids, keys, at, one, two = _joined(table)
-        order = np.argsort(one)
-        same = one[order[1:]] == one[order[:-1]]
-        where = order[np.append(same, False) | np.append(False, same)]
-        where = where[np.lexsort((at[where], keys[where], ids[where], two[where], one[where]))]
-        new = np.ones(len(where), bool)
-        new[1:] = (one[where[1:]] != one[where[:-1]]) | (two[where[1:]] != two[where[:-1]])
-        head = where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))]
-        where = where[(ids[where] != ids[head]) | (keys[where] != keys[head]) | (at[where] != at[head])]
-        share = _share(ids, keys, buckets)
-        where = where[np.lexsort((at[where], keys[where], ids[where], share[where]))]
-        repeated = (np.diff(ids[where]) == 0) & (np.diff(keys[where]) == 0) & (np.diff(at[where]) == 0)
-        where = where[np.append(True, ~repeated)[: len(where)]]  # repeated rows
-        rows = [(int(share[p[0]]), p, b"") for p in _runs(where, share)]
-        return pa.Table.from_batches([_rows(rows, ids, keys, at)])
-
-    return marked
-
-
-def _intervals(width: int):
-    """Task body of step 3, for one bucket of documents: the intervals that each document's marks merge into."""
-
-    def merged(table: pa.Table) -> pa.Table:
-        ids, keys, at = _joined(table)
-        pieces = _runs(np.lexsort((at, keys, ids)), ids, keys)
-        spans = [removal_intervals(at[p], width) for p in pieces]
-        return pa.table(
-            {
-                "id": pa.array([int(ids[p[0]]) for p in pieces], pa.int64()),
-                "text_key": pa.array([int(keys[p[0]]) for p in pieces], pa.int32()),
-                "removed": pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], _SPANS),
-            }
-        )
-
-    return merged
-
-
 def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Maximal word intervals [begin, end) that windows at ``starts`` cover; neighbours that touch are merged."""
     at = np.unique(starts).astype(np.int64)
@@ -188,6 +100,19 @@ def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(at[begin].tolist(), (at[np.append(begin[1:], len(at)) - 1] + width).tolist(), strict=True))
 
 
+def _intervals(width: int):
+    """Task body of step 3: positions of each document to intervals."""
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [removal_intervals(np.asarray(x.values), width) for x in batch.column(2)]
+            made = pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["of", "key", "removed"])
+
+    return merged
+
+
 def _cut(text: str | None, intervals: list[tuple[int, int]]) -> tuple[int, int, str]:
     words = (text or "").encode().split()
     gone = sum(e - b for b, e in intervals)
@@ -198,35 +123,44 @@ def _cut(text: str | None, intervals: list[tuple[int, int]]) -> tuple[int, int,
     return len(words), gone, b" ".join(kept + words[at:]).decode()
 
 
+def repeated_intervals(docs: DataFrame, id_col: str, text_col: str, width: int, partition_bytes: int) -> DataFrame:
+    """of (an id), key (of its text) and removed, the intervals of every document that loses words; a written table."""
+    spark, text = docs.sparkSession, docs[text_col]
+    volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // partition_bytes))
+    rows = docs.select(docs[id_col].alias("id"), F.hash(text).alias("key"), text.alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    windows = rows.mapInArrow(_windows(width), f"one long, two int, id {id_type}, place long").repartition(partitions, "one")
+    order = Window.partitionBy("one", "two").orderBy(F.col("id").asc_nulls_last(), "place")
+    marks = windows.withColumn("earlier", F.rank().over(order) - 1).where("two IS NULL OR earlier > 0")
+    key, at = F.shiftright("place", 32).cast("int").alias("key"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("at")
+    by_document = marks.select("id", key, at).groupBy("id", "key").agg(F.collect_set("at").alias("at"))
+    found = by_document.mapInArrow(_intervals(width), f"of {id_type}, key int, removed {_SPANS}")
+    return written(found, "intervals")
+
+
 def substring_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = WINDOW_WORDS,
-    bucket_bytes: int = BUCKET_BYTES,
+    partition_bytes: int = PARTITION_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, removed (array of word intervals) and kept_text.
 
     A word goes if a window of ``width`` words covers it whose word sequence also starts earlier: in a document of
-    smaller id, or before it in the same document.
+    smaller id, or before it in the same document.  Intervals are read next to the scan of the texts while they are
+    few; more of them need a shuffle of the texts.
     """
-    spark, text = docs.sparkSession, docs[text_col]
-    volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // bucket_bytes))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), F.hash(text).alias("text_key"), text.alias("text"))
-    longs = rows.select(F.col("id").cast("long"), "text_key", "text")
-    packed = longs.mapInArrow(_first_windows(width, buckets), _PACKED)
-    packed = written(packed.groupBy("bucket").applyInArrow(_marks(buckets), _PACKED), "marks")
-    release(spark)
-    spans = "array<struct<begin: long, end: long>>"
-    found = packed.groupBy("bucket").applyInArrow(_intervals(width), f"id long, text_key int, removed {spans}")
-    found = written(found.select(F.col("id").alias("long_id"), F.col("text_key").alias("of"), "removed"), "intervals")
-    key = F.coalesce(rows["id"].cast("long"), F.lit(_NO_ID))
-    both = rows.join(found.hint("merge"), (key == found["long_id"]) & (rows["text_key"] == found["of"]), "left")
+    found = repeated_intervals(docs, id_col, text_col, width, partition_bytes)
+    n, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
+    found = F.broadcast(found) if n <= BROADCAST_ROWS and spans <= BROADCAST_SPANS else found
+    rows = docs.select(docs[id_col].alias("id"), F.hash(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    both = rows.join(found, rows["id"].eqNullSafe(found["of"]) & (rows["text_key"] == found["key"]), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+        for batch in bounded(batches, 1, _ROWS):
             spans = batch.column(2)
             intervals = [[(x["begin"], x["end"]) for x in own] for own in spans.to_pylist()]
             made = [_cut(t.as_py(), x) for t, x in zip(batch.column(1), intervals, strict=True)]
@@ -234,5 +168,5 @@ def substring_dedup(
             columns = [batch.column(0), n, gone, spans, kept]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_removed", "removed", "kept_text"])
 
-    schema = f"id {id_type}, n_words long, n_removed long, removed {spans}, kept_text string"
-    return both.select("id", "text", F.coalesce("removed", F.array().cast(spans)).alias("removed")).mapInArrow(cut, schema)
+    schema = f"id {id_type}, n_words long, n_removed long, removed {_SPANS}, kept_text string"
+    return both.select("id", "text", F.coalesce("removed", F.array().cast(_SPANS)).alias("removed")).mapInArrow(cut, schema)

@@ -6,6 +6,8 @@ windows of all documents come from a few numpy passes instead of a Python loop o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,3 +81,15 @@ def window_starts(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(len(counts)), counts)
     first = np.cumsum(counts) - counts
     return np.arange(counts.sum()) - np.repeat(first, counts) + bounds[:-1][text], text
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text: int, rows: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts, in column ``text``, have at most ``size`` bytes or are a single one."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = min(max(int(np.searchsorted(ends, done + size, "right")), begin + 1), begin + rows, batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end

@@ -6,12 +6,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pytest
 from frames import AWKWARD, DOCS, clashing, docs
 
 from pelagos.llm.exact_dedup import drop_exact_duplicates, exact_dedup
-from pelagos.llm.substring_dedup import _first_windows, _joined, _marks, substring_dedup
+from pelagos.llm.substring_dedup import batch_windows, substring_dedup
 
 
 def normal(t):
@@ -93,8 +92,8 @@ def brute(texts, ids, width):
     return made
 
 
-@pytest.mark.parametrize(("width", "bucket_bytes"), [(5, 1 << 20), (20, 2000), (1, 500)])
-def test_substring_matches_brute_force(spark, width, bucket_bytes):
+@pytest.mark.parametrize(("width", "partition_bytes"), [(5, 1 << 20), (20, 2000), (1, 500)])
+def test_substring_matches_brute_force(spark, width, partition_bytes):
     rng = random.Random(width)
     vocabulary = [f"w{i}" for i in range(30)]
     passage = rng.choices(vocabulary, k=60)
@@ -108,7 +107,7 @@ def test_substring_matches_brute_force(spark, width, bucket_bytes):
     texts.append(" ".join(["again"] * 300))
     ids = rng.sample(range(1000), len(texts))
     want = brute(texts, ids, width)
-    got = substring_dedup(clashing(docs(spark, texts, ids)), width=width, bucket_bytes=bucket_bytes).collect()
+    got = substring_dedup(clashing(docs(spark, texts, ids)), width=width, partition_bytes=partition_bytes).collect()
     assert {r.id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
     for r in got:
         assert sum(s.end - s.begin for s in r.removed) == r.n_removed
@@ -120,28 +119,36 @@ def test_substring_repeated_rows_and_null_ids(spark):
     assert sorted((r.id or -1, r.n_removed) for r in got) == [(-1, 25), (4, 0), (4, 0)]
 
 
-def met_marks(ids, texts, width, buckets, rows):
-    """Document ids of the marks that each bucket of documents receives, from batches of ``rows`` rows."""
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([7] * len(ids), pa.int32()), pa.array(texts)], ["id", "key", "text"])
-    made = list(_first_windows(width, buckets)(batch.slice(i, rows) for i in range(0, len(ids), rows)))
-    packed = pa.Table.from_batches(made)
-    groups = {b: packed.filter(pc.equal(packed["bucket"], b)) for b in set(packed["bucket"].to_pylist())}
-    marks = pa.concat_tables(_marks(buckets)(g) for g in groups.values())
-    return {b: _joined(marks.filter(pc.equal(marks["bucket"], b)))[0] for b in set(marks["bucket"].to_pylist())}
+def test_substring_ids_of_other_types_and_long_texts(spark):
+    rng = random.Random(3)
+    passage = rng.choices([f"w{i}" for i in range(500)], k=80)
+    texts = [" ".join(rng.choices([f"v{i}" for i in range(5000)], k=60_000)), " ".join(passage), " ".join(["x", *passage]), None]
+    texts[0] += " " + texts[1]
+    want = {i: v[:2] for i, v in brute(texts, [0, 1, 2, 3], 20).items()}
+    for kind in ("string", "int", "decimal(5,1)", "date"):
+        made = docs(spark, texts).selectExpr("date_add(date'2020-01-01', int(doc_id)) AS d", "*")
+        ids = made.d if kind == "date" else made.doc_id.cast(kind)
+        got = substring_dedup(made.select(ids.alias("doc_id"), "text")).collect()
+        assert [(r.n_words, r.n_removed) for r in sorted(got, key=lambda r: r.id)] == [want[i] for i in range(4)], kind
 
 
-def test_marks_of_copies_spread_over_buckets():
+def test_intervals_without_broadcast(spark, monkeypatch):
+    from pelagos.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    text = " ".join(f"w{i}" for i in range(25))
+    got = substring_dedup(docs(spark, [text, "a " + text, None, ""], [4, 5, 6, None])).collect()
+    assert sorted((r.id or -1, r.n_removed) for r in got) == [(-1, 0), (4, 0), (5, 25), (6, 0)]
+
+
+def test_batches_pass_a_hash_on_once():
     text = " ".join(f"w{i}" for i in range(60))
-    found = met_marks(list(range(400)), [text] * 400, 20, 8, 50)
-    assert sum(map(len, found.values())) == 399 * 41
-    assert len(found) == 8 and max(map(len, found.values())) < 399 * 41 / 4
-    homes = [set(map(int, np.unique(ids))) for ids in found.values()]
-    assert sum(map(len, homes)) == len(set().union(*homes)) == 399
+    again = batch_windows(pa.array(range(400)), np.full(400, 7), pa.array([text] * 400), 20)[4]
+    assert len(again) == 400 * 41 and (~again).sum() == 41
 
 
-def test_repeated_rows_add_no_marks():
+def test_repeated_rows_are_read_once_a_batch():
     text = " ".join(f"w{i}" for i in range(60))
-    found = met_marks([1] + [2] * 399, [text] * 400, 20, 8, 400)
-    assert sum(map(len, found.values())) == 41
-    batches = met_marks([1] + [2] * 399, [text] * 400, 20, 8, 50)
-    assert sum(map(len, batches.values())) == 2 * 41
+    _, _, row, _, again = batch_windows(pa.array([1] + [2] * 399), np.full(400, 7), pa.array([text] * 400), 20)
+    assert len(again) == 2 * 41 and again.sum() == 41
+    assert set(row[again].tolist()) == {1}
