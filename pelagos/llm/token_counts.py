@@ -5,9 +5,13 @@ score and its piece count from character to character.  Ties follow the tokenize
 begins first wins, and a character that is no piece by itself also competes as unknown, at the lowest score less ten.
 An unknown character counts its bytes where the vocabulary has byte pieces; otherwise neighbours count as one.
 
-Spaces become ``▁`` and a text gets one more in front.  No piece of the vocabulary may
-hold ``▁`` after another character, so a text falls into segments, each a run of ``▁`` and what follows, whose best
-paths are independent; a batch counts each distinct segment once.  Scores are added per segment in double precision.
+Spaces become ``▁`` and a text gets one more in front.  Where no piece of the vocabulary holds ``▁`` after another
+character, and ``▁`` is a piece or unknown characters count their bytes, a text falls into segments, each a run of ``▁`` and what follows, whose best paths are independent; a batch
+counts each distinct segment once.  Otherwise a text is one segment.  Scores are added per segment in double precision.
+
+The counts are those of the given scores read as a unigram vocabulary's.  No unigram file is at hand: the query reads
+the piece file that there is, whose scores are the negated ranks of BPE merges, so its counts are exact under the
+unigram rules but belong to no published tokenizer.  They were 14 % above the file's own library on 300 documents.
 
 Edge cases
     null or empty text   no tokens
@@ -29,6 +33,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from pelagos.llm.words import bounded
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 _CACHED = 200_000
@@ -42,8 +48,8 @@ class SegmentCounter:
     def __init__(self, pieces: list[tuple[str, float]], byte_pieces: bool):
         import ahocorasick
 
-        if bad := [p for p, _ in pieces if SPACE in p.lstrip(SPACE)]:
-            raise ValueError(f"pieces that cross a word boundary are not supported: {bad[:3]}")
+        # pieces, or runs of unknown characters that count as one, may cross the boundaries of segments
+        self.whole = any(SPACE in p.lstrip(SPACE) for p, _ in pieces) or (not byte_pieces and SPACE not in dict(pieces))
         self.matcher = ahocorasick.Automaton()
         for piece, score in pieces:
             self.matcher.add_word(piece, (len(piece), float(score)))
@@ -52,6 +58,8 @@ class SegmentCounter:
         self.byte_pieces, self.cache = byte_pieces, {}
 
     def count(self, segment: str) -> int:
+        if self.whole:
+            return self._best(segment)
         found = self.cache.get(segment)
         if found is None:
             if len(self.cache) >= _CACHED:
@@ -94,10 +102,11 @@ class SegmentCounter:
             whole = False
 
 
-def segments(text: str) -> list[str]:
+def segments(text: str, whole: bool = False) -> list[str]:
     if not text:
         return []
-    return _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
+    text = SPACE + text.replace(" ", SPACE)
+    return [text] if whole else _SEGMENT.findall(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -115,10 +124,10 @@ def piece_file_counter(model_file: str) -> SegmentCounter:
 def _batch_counts(texts: pa.Array, counter: SegmentCounter) -> np.ndarray:
     """Tokens of each text; texts of single spaces take the vectorised path, which gives the same segments."""
     texts = pc.fill_null(texts, "")
-    odd = np.asarray(pc.match_substring_regex(texts, f"  |{SPACE}|^ | $|^$")).astype(bool)
+    odd = np.asarray(pc.match_substring_regex(texts, f"  |{SPACE}|^ | $|^$")).astype(bool) | counter.whole
     made = np.zeros(len(texts), np.int64)
     for i in np.flatnonzero(odd).tolist():
-        made[i] = sum(map(counter.count, segments(texts[i].as_py())))
+        made[i] = sum(map(counter.count, segments(texts[i].as_py(), counter.whole)))
     plain = np.flatnonzero(~odd)
     if len(plain):
         lists = pc.split_pattern(texts.take(pa.array(plain)).cast(pa.large_string()), " ")
@@ -135,7 +144,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_file_counter(model_file)
-        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+        for batch in bounded(batches, 1, _ROWS):
             made = _batch_counts(batch.column(1), counter)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["id", "n_tokens"])
 

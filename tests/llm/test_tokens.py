@@ -70,8 +70,48 @@ def test_ties_take_the_earlier_start():
     c = SegmentCounter([("a", -1.0), ("aa", -2.0), ("b", -1.0), ("▁", 0.0)], False)
     assert c.count("▁aa") == 2  # "▁", "aa": the piece that begins first wins a tie
     assert c.count("▁zzb") == 3  # neighbouring unknown characters count as one
-    with pytest.raises(ValueError, match="boundary"):
-        SegmentCounter([("a▁b", 0.0)], False)
+
+
+def plain_viterbi(text, pieces, byte_pieces):
+    """Tokens of a text by trying every piece at every place, ties to the piece that begins first."""
+    scores, strange = dict(pieces), min(s for _, s in pieces) - 10
+    best = [(0.0, 0, False)] + [None] * len(text)
+    for end in range(1, len(text) + 1):
+        for begin in range(end):
+            piece = text[begin:end]
+            if piece in scores:
+                made = (best[begin][0] + scores[piece], best[begin][1] + 1, False)
+            elif end - begin == 1:
+                more = len(piece.encode()) if byte_pieces else int(not best[begin][2])
+                made = (best[begin][0] + strange, best[begin][1] + more, True)
+            else:
+                continue
+            if best[end] is None or made[0] > best[end][0]:
+                best[end] = made
+    return best[-1][1]
+
+
+@pytest.mark.parametrize("byte_pieces", [True, False])
+def test_counts_match_a_plain_viterbi(byte_pieces):
+    rng = random.Random(5)
+    for trial in range(60):
+        names = {"".join(rng.choices("ab▁é", k=rng.randrange(1, 5))) for _ in range(12)} | {"a"}
+        if trial % 2:
+            names = {n for n in names if "▁" not in n.lstrip("▁")}
+        pieces = [(n, float(-rng.randrange(1, 9))) for n in sorted(names)]
+        counter = SegmentCounter(pieces, byte_pieces)
+        assert counter.whole == (any("▁" in n.lstrip("▁") for n in names) or (not byte_pieces and "▁" not in names))
+        for _ in range(20):
+            text = "".join(rng.choices("ab éx", k=rng.randrange(1, 30)))
+            got = sum(map(counter.count, segments(text, counter.whole)))
+            assert got == plain_viterbi("▁" + text.replace(" ", "▁"), pieces, byte_pieces), (pieces, text)
+
+
+def test_long_texts_repeated_rows_and_null_ids(spark, unigram):
+    long_text = "internationalisation " * 20_000 + "x" * 30_000
+    got = sorted((r.id or -1, r.n_tokens) for r in count_tokens(docs(spark, [long_text, "two words", "two words", None], [9, 1, 1, None]), PIECES).collect())
+    two = len(unigram.encode("two words"))
+    assert got == [(-1, 0), (1, two), (1, two), (9, len(unigram.encode(long_text)))]
 
 
 def test_segments():
