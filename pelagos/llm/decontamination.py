@@ -9,13 +9,14 @@ shingle hashes up in the sketches of the partitions that they are large enough t
 and then compared shingle by shingle as text.
 
 Documents never leave their task.  Items travel to the tasks in blocks of at most ``block_shingles`` shingles, one pass
-over the documents for each block.
+over the documents for each block; an item longer than a block is a block of its own.
 
 Words are maximal runs of letters and digits of the lower-cased text; a text of fewer than five words is one shingle.
 
 Edge cases
     null or empty text   no shingles: an item is never found, a document contains nothing
     very long text       looked up whole
+    ids of any type      carried as they are
     null id              reported like any other, and ``remove_contaminated`` drops contaminated rows of null id
     repeated rows, ties  each row, each item row and each pair that reaches the threshold is reported
     empty table          empty result of the same columns
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.words import split_words, window_hashes, window_starts, word_hashes
+from pelagos.llm.words import bounded, split_words, window_hashes, window_starts, word_hashes
 from pelagos.scratch import written
 
 SHINGLE_WORDS = 5
@@ -120,7 +121,8 @@ def _blocks(items: DataFrame, width: int, block_shingles: int) -> Iterator[list[
         if block and size + len(text) // 2 > block_shingles:
             yield block
             block, size = [], 0
-        block.append((row["item_id"], text))
+        item = row["item_id"]
+        block.append((bytes(item) if isinstance(item, bytearray) else item, text))
         size += len(text) // 2
     yield block
 
@@ -140,19 +142,20 @@ def contained_items(
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     wanted = items.select(items[item_id_col].alias("item_id"), items[item_text_col].alias("text"))
     id_type, item_type = (f.schema[0].dataType.simpleString() for f in (rows, wanted))
+    item_kind = wanted.select("item_id").limit(0).toArrow().schema.field(0).type
     schema = f"id {id_type}, item_id {item_type}, n_shingles long, n_shared long, containment double"
 
     def found(block: list[tuple[object, str]]) -> DataFrame:
         index = ItemIndex(block, width, threshold)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+            for batch in bounded(batches, 1, _ROWS):
                 hits = list(index.search(batch.column(1)))
                 at = pa.array([i for i, _, _ in hits], pa.int64())
                 n = [len(index.shingles[j]) for _, j, _ in hits]
                 columns = [
                     batch.column(0).take(at),
-                    pa.array([index.ids[j] for _, j, _ in hits], pa.string() if item_type == "string" else pa.int64()),
+                    pa.array([index.ids[j] for _, j, _ in hits], item_kind),
                     pa.array(n, pa.int64()),
                     pa.array([s for _, _, s in hits], pa.int64()),
                     pa.array([s / k for (_, _, s), k in zip(hits, n, strict=True)], pa.float64()),

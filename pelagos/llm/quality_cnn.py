@@ -6,7 +6,7 @@ self-match planes: plane ``l`` counts, within 32 bytes, the bytes that equal the
 max-pooled over overlapping chunks that cover the whole document, the chunk maxima over the document, and a small dense
 layer turns them into one probability.
 
-Training is Adam on a bounded sample of labelled rows, ``max_rows`` at most, half of each class where there are enough;
+Training is Adam on a bounded sample of labelled rows, ``max_rows`` of up to ``max_text_bytes``, half of each class where there are enough;
 the output bias is then moved back to the label frequencies of all labelled rows.  The sample is taken by a hash of the
 id and the seed is fixed, so the model is the same on every run.  Only the text enters a score.
 
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelagos.llm.words import bounded
 from pelagos.scratch import written
 
 MAX_ROWS = 2000
@@ -39,7 +40,11 @@ EPOCHS = 12
 WIDTH, EMBED, FILTERS = 6, 6, 16
 LAGS, MATCH_FILTERS = np.arange(2, 22), 8
 HIDDEN = 16
-CHUNK = 1024
+#: Bytes of a chunk; neighbours overlap by half.
+CHUNK = 2048
+STRIDE = CHUNK // 2
+#: Longer labelled texts are not learnt from, so at most MAX_ROWS times as much reaches the driver.
+MAX_TEXT_BYTES = 1 << 16
 _PAD = 32  # at least WIDTH, the largest lag, and the span of a match count
 _PIECE = 32  # chunks at a time
 _ROWS = 512
@@ -69,16 +74,16 @@ def new_net(seed: int = 7) -> Net:
 
 
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts end to end, each padded with zeros to a multiple of 8; where chunks begin; the text of each chunk."""
+    """Texts end to end, each padded with zeros to a multiple of 8; where half chunks begin; the text of each."""
     sizes = np.array([len(t) for t in texts], np.int64)
     room = (sizes + _PAD + 7) // 8 * 8
     begin = np.cumsum(room) - room
     buf = np.zeros(room.sum() + _PAD, np.uint8)
     for b, t in zip(begin.tolist(), texts, strict=True):
         buf[b : b + len(t)] = np.frombuffer(t, np.uint8)
-    chunks = np.maximum(1, -(-sizes // CHUNK))
+    chunks = np.maximum(1, -(-sizes // STRIDE))
     text = np.repeat(np.arange(len(texts)), chunks)
-    starts = begin[text] + CHUNK * (np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks))
+    starts = begin[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks))
     return buf, starts, text
 
 
@@ -106,7 +111,7 @@ def _convolved(tables: np.ndarray, buf: np.ndarray, begin: int, end: int) -> np.
 
 
 def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
-    """Maxima of every filter over every text."""
+    """Maxima of every filter over every text: of each half chunk, of each chunk (two neighbouring halves), of the text."""
     buf, starts, text = _laid_out(texts)
     size, tables = len(buf) - _PAD, _tables(net)
     match = _match_counts(buf)
@@ -120,6 +125,8 @@ def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
         conv[(ends[:, None] - np.arange(1, WIDTH) - b).ravel()] = tables[:, 0].sum(0)  # padding only, not the next text
         chunk[i : i + _PIECE, :FILTERS] = np.maximum.reduceat(conv, own - b)
         chunk[i : i + _PIECE, FILTERS:] = np.maximum.reduceat(match[b // 8 : e // 8] @ net.match, (own - b) // 8)
+    follows = np.flatnonzero(text[1:] == text[:-1])
+    chunk[follows] = np.maximum(chunk[follows], chunk[follows + 1])
     return np.maximum.reduceat(chunk, first)
 
 
@@ -195,6 +202,7 @@ def fit(
     text_col: str = "text",
     label_col: str = "quality",
     max_rows: int = MAX_ROWS,
+    max_text_bytes: int = MAX_TEXT_BYTES,
 ) -> Net | float:
     """The net, or the smoothed share of label 1 where the labelled rows have one class or none."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -210,7 +218,8 @@ def fit(
     sample = sample.unionByName(known.where("label = 0").orderBy(order, "id").limit(max_rows - min(ones or 0, half)))
     if not few:
         return rate
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    rows = docs.where(F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) <= max_text_bytes)
+    rows = rows.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
     rows = rows.join(F.broadcast(sample), "id").orderBy("id", F.xxhash64("text")).limit(max_rows).select("text", "label").collect()
     own = np.array([r["label"] for r in rows], np.float32)
     if not 0 < own.sum() < len(own):
@@ -225,7 +234,7 @@ def score_documents(
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+        for batch in bounded(batches, 1, _ROWS):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             made = scores(model, texts) if isinstance(model, Net) else np.full(len(texts), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["id", "score"])
@@ -246,7 +255,7 @@ def drop_low_quality(docs: DataFrame, model: Net | float, text_col: str = "text"
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = names.index(text_col)
-        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+        for batch in bounded(batches, where, _ROWS):
             texts = [(t or "").encode() for t in batch.column(where).to_pylist()]
             made = scores(model, texts) if isinstance(model, Net) else np.full(len(texts), model)
             yield batch.filter(pa.array(made >= least))

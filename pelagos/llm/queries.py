@@ -15,7 +15,7 @@ from pelagos.llm.secrets import KINDS, scan_secrets
 from pelagos.llm.simhash import simhash_dedup
 from pelagos.llm.substring_dedup import substring_dedup
 from pelagos.llm.token_counts import count_tokens
-from pelagos.llm.url_filter import judge_urls
+from pelagos.llm.url_filter import TWO_LABEL_SUFFIXES, judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,8 +140,8 @@ WITH u AS (SELECT page_id, url,
      o AS (SELECT host, 1 AS n, quality * (1 - toxic) AS k FROM u JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
      c AS (SELECT host, sum(n) AS n, sum(k) AS k FROM (SELECT host, n, k FROM o UNION ALL SELECT host, 0, 0 FROM u) GROUP BY host),
      h AS (SELECT host, n::DOUBLE AS n, k::DOUBLE AS k,
-             regexp_extract(host, '(?:^|\.)(co\.uk|[^.]*)\.?$', 1) AS suffix,
-             regexp_extract(host, '(?:^|\.)((?:[^.]*\.)?(?:co\.uk|[^.]*))\.?$', 1) AS domain FROM c),
+             regexp_extract(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '(?:^|\.)(SUFFIXES|[^.]*)\.?$', 1) AS suffix,
+             regexp_extract(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '(?:^|\.)((?:[^.]*\.)?(?:SUFFIXES|[^.]*))\.?$', 1) AS domain FROM c),
      d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
      x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
      a AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mu FROM x),
@@ -157,7 +157,7 @@ WITH u AS (SELECT page_id, url,
      wh AS (SELECT sum((k - n * mu) ** 2 - n * mu * (1 - mu)) AS t, sum(n * (n - 1) * mu * (1 - mu)) AS b FROM ha),
      mh AS (SELECT CASE WHEN b = 0 OR t <= 0 THEN 1000.0 ELSE least(greatest(b / t - 1, 1.0), 1000.0) END AS m FROM wh),
      hm AS (SELECT host, (mu * m + k) / (m + n) AS p, m + n AS size FROM ha, mh),
-     r AS (SELECT host, p - 1.645 * sqrt(p * (1 - p) / (size + 1)) >= 0.5 AS good FROM hm),
+     r AS (SELECT host, p - 1.645 * sqrt(p * (1 - p) / (size + 1)) >= 0.9 * (SELECT mu FROM a) AS good FROM hm),
      v AS (SELECT page_id, host, path, good, CASE
              WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -165,7 +165,7 @@ WITH u AS (SELECT page_id, url,
              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM u JOIN r USING (host))
 SELECT page_id, host, path, rule, CASE WHEN coalesce(rule IN ('com/', 'www.example.com/en/'), good) THEN 'allow' ELSE 'block' END AS verdict FROM v
-"""
+""".replace("SUFFIXES", "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES))
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,

@@ -4,7 +4,9 @@ Labelled page outcomes (1 good, 0 bad) are counted per host and rolled up to reg
 each level the spread between siblings beyond chance fixes the strength of a beta-binomial prior by the method of
 moments, and the posterior mean of the parent is its centre: suffixes shrink to the overall rate, domains to their
 suffix, hosts to their domain.  A host passes if the lower posterior bound of its good rate, mean less ``z`` posterior
-standard deviations, reaches ``least_good``.  A host without outcomes is judged by what its domain and suffix say.
+standard deviations (a normal bound: the beta quantile itself is not computed), reaches ``least_share`` of the good
+rate over all outcomes.  The bar follows the labels, so it means the same in a corpus of few and of many good pages.
+A host without outcomes is judged by what its domain and suffix say.
 
 Edge cases
     null url, or no ``://``   host and path are empty; judged as the host ""
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from pelagos.scratch import written
 
 Z = 1.645
-LEAST_GOOD = 0.5
+#: Share of the overall good rate that the lower bound must reach.
+LEAST_SHARE = 0.9
 #: Prior strengths, in pages, are kept within these.
 WEIGHTS = (1.0, 1000.0)
 #: Public suffixes of two labels that are told apart from the last label alone.
@@ -82,7 +85,7 @@ def _posterior(weight: float) -> Column:
 
 
 def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
-    """host, n, k, mean and lower of every host; ``hosts`` has unique host with n outcomes, k of them good."""
+    """host, n, k, mean, lower and the overall rate of every host; ``hosts`` has unique host with n outcomes, k of them good."""
     hosts = hosts.select("host", "n", "k", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
     hosts = written(hosts, "hosts")
     domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
@@ -97,7 +100,8 @@ def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     weight = _weight(low)
     mean, size = _posterior(weight), F.lit(weight) + F.col("n")
     lower = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("size") + 1))
-    return low.select("host", "n", "k", mean.alias("mean"), size.alias("size")).select("host", "n", "k", "mean", lower.alias("lower"))
+    made = low.select("host", "n", "k", mean.alias("mean"), size.alias("size"))
+    return made.select("host", "n", "k", "mean", lower.alias("lower"), F.lit(overall).alias("overall"))
 
 
 def judge_urls(
@@ -108,7 +112,7 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     z: float = Z,
-    least_good: float = LEAST_GOOD,
+    least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and its host's outcomes n, posterior mean and lower bound.
 
@@ -124,7 +128,7 @@ def judge_urls(
     judged = rows.join(known, rows["host"] == known["known_host"])
     rule = matching_rule(F.col("host"), F.col("path"), [*allow, *block])
     good = F.col("rule").isin(list(allow)) if allow else F.lit(False)
-    verdict = F.when(F.col("rule").isNull(), F.col("lower") >= least_good).otherwise(good)
+    verdict = F.when(F.col("rule").isNull(), F.col("lower") >= least_share * F.col("overall")).otherwise(good)
     judged = judged.withColumn("rule", rule)
     verdict = F.when(verdict, "allow").otherwise("block").alias("verdict")
     return judged.select("id", "host", "path", "rule", verdict, "n", "mean", "lower")

@@ -54,6 +54,49 @@ def test_structures_are_confirmed():
     assert "pem" in [k for _, _, k in find_secrets(armour)]
 
 
+def kinds_of(text):
+    return [(k, s, e) for s, e, k in find_secrets(text) if k in KINDS[3:]]
+
+
+def test_keys_at_any_offset_and_encoding():
+    for before in ("", "3", "30", "3082", "ab30f", "00", "30" * 7):
+        assert kinds_of(before + KEY.hex()) == [("der", len(before), len(before) + 2 * len(KEY))], before
+    plain, safe = base64.b64encode(KEY).decode(), base64.urlsafe_b64encode(KEY).decode()
+    assert kinds_of(safe) == [("der", 0, len(safe))] and kinds_of(plain.rstrip("=")) == [("der", 0, len(plain.rstrip("=")))]
+    wrapped = "key:\n" + base64.encodebytes(KEY).decode() + "\nend"
+    assert kinds_of(wrapped) == [("der", 5, wrapped.index("\n\nend"))]
+    assert [k for k, _, _ in kinds_of("x" * 17 + "/" + plain)] == ["der"]
+
+
+def test_encrypted_and_armoured_keys():
+    algorithm = tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(0x30, tlv(4, b"salt") + tlv(2, b"\x08\0")))
+    sealed = tlv(0x30, algorithm + tlv(4, bytes(range(160))))
+    assert [k for k, _, _ in kinds_of(base64.b64encode(sealed).decode())] == ["der"]
+    body = base64.encodebytes(KEY).decode()
+    blocks = [
+        "-----BEGIN PRIVATE KEY-----\n" + body + "-----END PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----\\n" + body.replace("\n", "\\n") + "-----END PRIVATE KEY-----",
+        "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0011\n\n" + base64.encodebytes(bytes(range(160))).decode() + "-----END RSA PRIVATE KEY-----",
+        "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.encodebytes(sealed).decode() + "-----END ENCRYPTED PRIVATE KEY-----",
+    ]
+    for block in blocks:
+        assert ("pem", 3, 3 + len(block)) in kinds_of("xx " + block), block[:40]
+
+
+def test_lengths_are_checked_at_every_level():
+    deep = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2a") + tlv(0x30, tlv(0x30, tlv(5, b"")))) + tlv(4, bytes(60)))
+    assert [k for k, _, _ in kinds_of(deep.hex())] == ["der"]
+    broken = deep.replace(bytes([0x30, 2, 5, 0]), bytes([0x30, 2, 5, 1]))
+    assert broken != deep and not kinds_of(broken.hex()) and not kinds_of(base64.b64encode(broken).decode())
+
+
+def test_secrets_of_awkward_tables(spark):
+    assert scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
+    far = "word " * 100_000 + JWT
+    got = scan_secrets(docs(spark, [JWT, JWT, far, None], [3, 3, None, None])).collect()
+    assert sorted((r.id or -1, [(s.kind, s.start) for s in r.secrets]) for r in got) == [(-1, []), (-1, [("jwt", 500_000)]), (3, [("jwt", 0)]), (3, [("jwt", 0)])]
+
+
 def test_what_only_looks_like_a_key_is_not_reported():
     broken = bytearray(KEY)
     broken[2] ^= 1
@@ -98,6 +141,16 @@ def test_containment_matches_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
 
 
+def test_containment_takes_ids_of_any_type(spark):
+    text = "one two three four five six seven eight"
+    for kind in ("int", "string", "decimal(9,2)", "binary", "date"):
+        item = spark.createDataFrame([(text,), (None,)], "text string").selectExpr(
+            f"CASE WHEN text IS NOT NULL THEN {'current_date()' if kind == 'date' else f'CAST(string(7) AS {kind})'} END AS item_id", "text"
+        )
+        got = contained_items(docs(spark, ["x y " + text * 1, "no", None]), item).collect()
+        assert [(r.id, r.n_shared) for r in got] == [(0, 4)] and got[0].item_id is not None, kind
+
+
 def test_containment_of_empty_tables(spark):
     empty, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert contained_items(empty, items).count() == 0
@@ -151,6 +204,21 @@ def test_hosts_shrink_to_their_domain(spark):
     assert all(r.lower < r["mean"] for r in got.values())
 
 
+def test_bad_hosts_are_blocked(spark):
+    """Hosts with many bad outcomes are blocked, good ones of the same domain are not, and an unknown one follows them."""
+    rng = random.Random(8)
+    names = {f"h{i}.site{i % 5}.org": 0.15 if i % 4 == 0 else 0.9 for i in range(40)}
+    outcomes = [(f"http://{h}/{j}", int(rng.random() < p)) for h, p in names.items() for j in range(60)]
+    pages = [(i, f"http://{h}/x") for i, h in enumerate([*names, "new.site1.org"])] + [(None, None), (99, "http://h1.site1.org/y")]
+    made = judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "url string, good int"), [], [])
+    got = {r.host: r.verdict for r in made.collect()}
+    assert {h for h in names if got[h] == "block"} == {h for h, p in names.items() if p < 0.5}
+    assert made.count() == len(pages)
+    clash = spark.createDataFrame([(u, g, "x", 1) for u, g in outcomes], "url string, good int, host string, n int")
+    again = judge_urls(spark.createDataFrame(pages, "page_id long, url string"), clash, [], [])
+    assert {r.host: r.verdict for r in again.collect()} == got
+
+
 def test_no_outcomes_and_no_pages(spark):
     none = spark.createDataFrame([], "url string, good int")
     pages = spark.createDataFrame([(1, "http://x.org/")], "page_id long, url string")
