@@ -19,6 +19,7 @@ Edge cases
     repeated rows, ties  equal fingerprints are linked; the smallest id names the component
     null id              joins its component but never names it while another id does
     empty table          empty result of the same columns
+    one id, many texts   each row is a document of its own; ``drop_near_duplicates`` tells them apart by a text hash
     extra columns        ignored by name, or carried through by ``drop_near_duplicates``
 """
 
@@ -39,6 +40,8 @@ from pelagos.scratch import written
 SHINGLE_WORDS = 4
 DISTANCE = 4
 SEED = 42
+#: Ids with text hashes, about 64 bytes each in memory, that are sent to every executor.
+BROADCAST_ROWS = 1 << 19
 _BLOCK = 1 << 15
 
 
@@ -61,15 +64,16 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """id and fp, the fingerprint as a signed 64-bit integer, of every row."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    """id, key (a hash of the text) and fp, the fingerprint as a signed 64-bit integer, of every row."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"), F.xxhash64(docs[text_col]).alias("key"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t.as_py() or b"", width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["id", "fp"])
+            columns = [batch.column(0), batch.column(2), pa.array(made.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "fp"])
 
-    return rows.mapInArrow(hashed, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(hashed, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
 def segment_plan(count: int, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
@@ -142,6 +146,18 @@ def near_components(table: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return written(found.where("fp <> root"), "found")
 
 
+def _members(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> DataFrame:
+    """id, key, fp, root (of its component) and component_id of every row."""
+    rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    table = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("least")), "table")
+    roots = near_components(table.select("fp", "copies"), distance)
+    named = table.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = written(named, "named")
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    of = written(named.join(least, "root").select("fp", "root", "component_id"), "of")
+    return rows.join(of, "fp").select("id", "key", "fp", "root", "component_id")
+
+
 def simhash_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -150,14 +166,8 @@ def simhash_dedup(
     distance: int = DISTANCE,
 ) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
-    rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    table = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("least")), "table")
-    roots = near_components(table.select("fp", "copies"), distance)
-    named = table.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
-    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    of = written(named.join(least, "root").select("fp", "component_id"), "of")
-    return rows.join(of, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _members(docs, id_col, text_col, width, distance)
+    return found.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(
@@ -167,7 +177,26 @@ def drop_near_duplicates(
     width: int = SHINGLE_WORDS,
     distance: int = DISTANCE,
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; ids are taken to be unique."""
-    found = simhash_dedup(docs, id_col, text_col, width, distance)
-    gone = written(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone_id")), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    """One row of each component, with all its columns: the one of smallest id, of several texts under it one of them.
+
+    A row goes by its id and its text together, so rows that share an id are told apart.  The rows that go are listed
+    next to the scan while they are at most BROADCAST_ROWS; a longer list needs a shuffle of the rows themselves.
+    """
+    found = written(_members(docs, id_col, text_col, width, distance), "members")
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("stays"))
+    named = found.join(written(first, "first"), "root")
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("stays"))
+    gone = written(named.where(~stays).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone")
+    again = named.where(stays).groupBy(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).count().where("count > 1")
+    again = written(again.drop("count"), "again")
+    key = F.xxhash64(docs[text_col])
+
+    def among(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        near = F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed
+        return rows.join(near, rows[id_col].eqNullSafe(near["gone_id"]) & (key == near["gone_key"]), how)
+
+    stay = among(docs, gone, "left_anti")
+    if again.isEmpty():
+        return stay
+    once = among(stay, again, "left_semi").dropDuplicates([id_col, text_col])
+    return among(stay, again, "left_anti").unionByName(once)

@@ -94,3 +94,18 @@ def test_edges(spark):
     assert [(r.id, r.component_id) for r in got if r.id is None] == [(None, 9)]
     lone = simhash_dedup(docs(spark, ["only null"], [None])).select(F.col("component_id").isNull().alias("x")).first().x
     assert lone
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    df = clashing(docs(spark, [a, a, b, b, None, ""], [1, 2, 2, 2, None, None]))
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or -1, (r.text or "")[:2]) for r in kept.collect()) == [(-1, ""), (1, "a0"), (2, "b0")]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 977}" for i in range(40_000)]
+    got = {r.id: r for r in simhash_dedup(docs(spark, [" ".join(words), "x " + " ".join(words)])).collect()}
+    assert int(got[0].fingerprint, 16) == fingerprint(" ".join(words))
+    assert {r.component_id for r in got.values()} == {0}
