@@ -29,12 +29,11 @@ def python_scan(text):
         family = model.families[int(p.argmax())]
         if family == license_scan.UNKNOWN or p.max() < model.threshold:
             continue
-        pairs = license_scan.grams_of(words, (2,))
-        best = 0.0
+        pairs, best = license_scan.counted(words), 0.0
         for t in license_scan.TEMPLATES[family]:
-            own = set(license_scan.grams_of(license_scan.words_of(t), (2,)))
-            shared = len(own & set(pairs))
-            best = max(best, shared / len(own), shared / len(set(pairs)) if len(pairs) >= 6 else 0.0)
+            own = license_scan.counted(license_scan.words_of(t))
+            shared = len(own & pairs)
+            best = max(best, shared / len(own), shared / len(pairs) if len(pairs) >= 6 else 0.0)
         if best >= license_scan.CONFIRMED:
             found.append((k, family, round(float(p.max()), 9), round(best, 9)))
     return found
@@ -74,6 +73,35 @@ def test_licences_in_long_and_across_lines(spark):
     assert got == want
 
 
+def test_cut_templates_are_found_as_without_anchors(spark):
+    """Every run of three quarters of every template, alone on a line: anchors decide nothing."""
+    texts = []
+    for template in (t for own in license_scan.TEMPLATES.values() for t in own):
+        words = template.split()
+        size = max(3, len(words) * 3 // 4)
+        texts += [" ".join(words[b : b + size]) for b in range(len(words) - size + 1)]
+    got = {}
+    for r in license_scan.scan_licences(docs(spark, texts)).where("similarity >= 0.7").collect():
+        got.setdefault(r.id, []).append((r.paragraph, r.family))
+    want = {i: [f[:2] for f in own] for i, t in enumerate(texts) if (own := python_scan(t))}
+    assert {i: own for i, own in got.items() if i in want} == want
+    assert len(want) > 0.75 * len(texts)
+
+
+def test_a_confirmed_paragraph_holds_an_anchor():
+    chosen = set(license_scan.anchors())
+    for template in (t for own in license_scan.TEMPLATES.values() for t in own):
+        own = license_scan.counted(license_scan.words_of(template))
+        free = [g for g in own if not chosen & set(g.split())]
+        assert len(free) < 0.7 * len(own) and len(free) < 0.7 * license_scan.LEAST_BIGRAMS, template
+    assert license_scan.held_out_report()["threshold"] > 0.5
+
+
+def test_licences_of_null_ids_and_repeated_rows(spark):
+    got = license_scan.scan_licences(docs(spark, [LICENCES["mit"]] * 3 + [None], [4, 4, None, None])).collect()
+    assert sorted((r.id or -1, r.family) for r in got) == [(-1, "mit"), (4, "mit"), (4, "mit")]
+
+
 def test_licence_plan_has_no_python(spark):
     plan = license_scan.scan_licences(docs(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1].split("LogicalRDD")[0].replace("RoundRobin", "")[:200]
