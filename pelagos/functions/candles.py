@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagos.functions import timeseries as ts
-from pelagos.functions.elementwise import div_fill
+from pelagos.functions.elementwise import div_fill, over
 
 
 def _c(name: str) -> Column:
@@ -73,3 +73,47 @@ def obv_step() -> Column:
 
 def serial_correlation(x: str, lagged: str, n: int) -> Column:
     return ts.correlation(_c(x), _c(lagged), n)
+
+
+def _rolling(x: Column, n: int, make=F.avg, least: int | None = None) -> Column:
+    """Over the last ``n`` rows, from half of them (two at least) unless told otherwise."""
+    w = ts.trailing(n)
+    return ts.at_least(max(n // 2, 2) if least is None else least, x, w, make(x).over(w))
+
+
+def library(bars: DataFrame, short: int = 6, long: int = 12, smooth: int = 3) -> DataFrame:
+    """``bars`` with every signal of the library for one set of windows, delayed by one bar.
+
+    Needs open, high, low, close, volume, dollars and taker (bought volume).  Signals are centred at zero; those named
+    reversal are negated, so high means expected up.  Three stages of windows over one exchange.
+    """
+    spread, change = _c("high") - _c("low"), ts.delta(_c("close"), 1)
+    made = bars.withColumns({
+        "r": ts.pct_change(_c("close")), "d": change,
+        "pos": div_fill(_c("close") - _c("low"), spread, 0.5) - 0.5, "body_now": body_ratio(), "upper_now": upper_shadow(),
+        "lower_now": lower_shadow(), "bought": div_fill(_c("taker"), _c("volume"), 0.5), "lhl": F.pow(F.log(_c("high") / _c("low")), 2),
+    })
+    some = F.when(_c("d").isNotNull(), F.greatest(_c("d"), F.lit(0.0))), F.when(_c("d").isNotNull(), F.greatest(-_c("d"), F.lit(0.0)))
+    made = made.withColumns({"obv": ts.running_total(F.signum("d") * _c("volume")), "up": some[0], "down": some[1]})
+    close, r, volume = _c("close"), _c("r"), _c("volume")
+    mean, deviation = _rolling(close, long), _rolling(close, long, F.stddev_samp)
+    low, high = _rolling(_c("low"), long, F.min), _rolling(_c("high"), long, F.max)
+    surge = div_fill(volume, _rolling(volume, long), 1.0)
+    park = lambda n: F.sqrt(_rolling(_c("lhl"), n) / (4 * F.log(F.lit(2.0))))
+    vwap = _rolling(_c("dollars"), long, F.sum, 2) / _rolling(volume, long, F.sum, 2)
+    strength = div_fill(_rolling(_c("up"), long), _rolling(_c("down"), long), 1.0)
+    signals = {
+        "return_mean": _rolling(r, long), "return_z": over(close - mean, deviation), "place_in_range": _rolling(_c("pos"), smooth, least=1),
+        "body": _rolling(_c("body_now"), smooth, least=1), "upper": -_rolling(_c("upper_now"), smooth, least=1),
+        "lower": _rolling(_c("lower_now"), smooth, least=1), "above_mean": (close - mean) / mean, "donchian": div_fill(close - low, high - low, 0.5) - 0.5,
+        "trend": div_fill(_rolling(r, long), _rolling(F.abs(r), long), 0.0), "macd": _rolling(r, short) - _rolling(r, long),
+        "volume_ratio": surge - 1, "taker_ratio": _rolling(_c("bought"), short, least=1) - 0.5, "taker_delta": _c("bought") - _rolling(_c("bought"), short),
+        "volume_confirms": r * surge, "obv_momentum": over(_c("obv") - _rolling(_c("obv"), long), F.abs(_rolling(_c("obv"), long))),
+        "volatility_regime": div_fill(_rolling(r, short, F.stddev_samp), _rolling(r, long, F.stddev_samp), 1.0) - 1,
+        "range_expansion": over(spread - _rolling(spread, long), _rolling(spread, long)), "parkinson_ratio": div_fill(park(short), park(long), 1.0) - 1,
+        "bollinger_reversal": -over(close - mean, deviation), "rsi_reversal": -((100 - 100 / (1 + strength)) - 50) / 50,
+        "momentum_taker": (over(close, F.lag("close", short).over(ts.series())) - 1) * _c("bought"), "vwap_deviation": (close - vwap) / vwap,
+        "momentum_scaled": div_fill(_rolling(r, short), _rolling(r, long, F.stddev_samp), 0.0),
+    }
+    made = made.select("*", *(c.alias(f"now_{n}") for n, c in signals.items()))
+    return made.select(*bars.columns, *(F.lag(f"now_{n}").over(ts.series()).alias(n) for n in signals))

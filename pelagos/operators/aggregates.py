@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,27 @@ def spearman_ic(panel: DataFrame, signal: str, ret: str, least: int = 10) -> Dat
     return ranked.groupBy("ts").agg(corr_of("a", "b").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def batch_ic(panel: DataFrame, signals: list[str], ret: str, least: int = 10) -> DataFrame:
+    """alpha, ts, ic and n of many signals: one shuffle by time, then ranks inside each time's section.
+
+    A section has one row per instrument.  Each signal is ranked over the rows where it and the return are present.
+    """
+
+    def section(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, rows = pdf[ret].astype(float), []
+        for name in signals:
+            x = pdf[name].astype(float)
+            ok = x.notna() & y.notna()
+            n = int(ok.sum())
+            if n >= least:
+                a, b = x[ok].rank(), y[ok].rank()
+                spread = a.std() * b.std()
+                rows.append((name, pdf["ts"].iloc[0], float(a.cov(b) / spread) if spread > 0 else None, n))
+        return pd.DataFrame(rows, columns=["alpha", "ts", "ic", "n"])
+
+    return panel.select("ts", ret, *signals).groupBy("ts").applyInPandas(section, "alpha string, ts timestamp, ic double, n long")
+
+
 def quantile_spread(panel: DataFrame, signal: str, ret: str, bins: int = 5, least: int = 20) -> DataFrame:
     """ts, long, short, spread: mean return at or above the top and at or below the bottom quantile of the signal."""
     both = panel.where(F.col(signal).isNotNull() & F.col(ret).isNotNull())
@@ -89,8 +111,6 @@ def block_bootstrap(values: np.ndarray, spark, n_boot: int = 2000, block: int =
     """Mean and Sharpe of ``n_boot`` circular block resamples of one short series; one row per resample."""
 
     def draw(batches):
-        import pandas as pd
-
         for batch in batches:
             rows = []
             for i in batch["id"]:

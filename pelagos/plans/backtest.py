@@ -158,3 +158,24 @@ def commission(shares: Column, price: Column, per_share: float = 0.0035, least:
     """Per-share commission of an order, at least ``least`` and at most the share ``most`` of its value."""
     value = F.abs(shares) * price
     return F.least(F.greatest(F.abs(shares) * per_share, F.lit(least)), value * most)
+
+
+#: Monthly shares up to which a rate per share holds, and the fees on exchange volume and on sales.
+TIERS = [(300_000, 0.0035), (3_000_000, 0.0020), (20_000_000, 0.0015), (100_000_000, 0.0010)]
+LAST_TIER_RATE = 0.0005
+EXCHANGE_FEE, SALE_FEE, SHARE_SALE_FEE, SHARE_SALE_CAP = 0.0003, 0.0000278, 0.000145, 7.27
+
+
+def tiered_commission(shares: Column, price: Column, monthly: Column, least: float = 0.35, most: float = 0.01) -> Column:
+    """Commission at the rate of the month's volume so far: at most a share of the value, but never below ``least``."""
+    rate = F.lit(LAST_TIER_RATE)
+    for volume, own in reversed(TIERS):
+        rate = F.when(monthly <= volume, F.lit(own)).otherwise(rate)
+    fee = F.greatest(F.lit(least), F.least(shares * rate, most * (shares * price)))
+    return F.when((shares > 0) & (price > 0), fee).otherwise(0.0)
+
+
+def regulatory_fees(shares: Column, price: Column, sells: Column) -> Column:
+    """Exchange fee on both sides; on sales also a fee on the value and a capped one on the shares."""
+    sale = shares * price * SALE_FEE + F.least(shares * SHARE_SALE_FEE, F.lit(SHARE_SALE_CAP))
+    return F.when((shares > 0) & (price > 0), shares * EXCHANGE_FEE + F.when(sells, sale).otherwise(0.0)).otherwise(0.0)

@@ -306,13 +306,12 @@ def fama_macbeth_newey_west(spark, sf_dir):
     return made.select(*(F.round(c, 6).alias(c) for c in ("mean", "se", "t")), "n")
 
 
-@register("quintile_counts_by_group", f"""WITH {PANEL_SQL} SELECT sector, industry, count(*) AS cells, count(close) AS present, round(median(close), 6) AS middle
+@register("group_counts", f"""WITH {PANEL_SQL} SELECT sector, industry, count(*) AS cells, count(close) AS present, round(median(close), 6) AS middle
 FROM panel GROUP BY GROUPING SETS ((sector, industry), (sector), ())""")
-def quintile_counts_by_group(spark, sf_dir):
+def group_counts(spark, sf_dir):
     panel = src.monthly_panel(spark, sf_dir).select("sector", "industry", "close")
-    panel.createOrReplaceTempView("pelagos_cells")
-    return spark.sql("""SELECT sector, industry, count(*) AS cells, count(close) AS present, round(median(close), 6) AS middle
-        FROM pelagos_cells GROUP BY GROUPING SETS ((sector, industry), (sector), ())""")
+    sets = panel.groupingSets([["sector", "industry"], ["sector"], []], "sector", "industry")
+    return sets.agg(F.count("*").alias("cells"), F.count("close").alias("present"), F.round(F.median("close"), 6).alias("middle"))
 
 
 @register("asof_orders", """WITH f AS (SELECT o_custkey AS k, o_orderdate AS at, max(o_totalprice) AS price FROM orders GROUP BY 1, 2),
@@ -562,24 +561,6 @@ def risk_residuals(spark, sf_dir):
     return keyed(sequential.risk_residuals(panel, "close", ["volume"]), F.round("residual", 5).alias("residual"))
 
 
-@register("dead_band")
-def dead_band(spark, sf_dir):
-    panel = reversal(src.monthly_panel(spark, sf_dir)).select("ts", "inst", "signal")
-    return keyed(sequential.dead_band(panel, "signal", 0.25), F.round("held", 6).alias("held"))
-
-
-@register("threshold_positions")
-def threshold_positions(spark, sf_dir):
-    panel = reversal(src.monthly_panel(spark, sf_dir)).select("ts", "inst", (F.col("signal") - 0.5).alias("signal"))
-    return keyed(sequential.threshold_positions(panel, "signal", 0.4, 0.1, 2), F.col("side"))
-
-
-@register("rolling_ridge")
-def rolling_ridge(spark, sf_dir):
-    panel = src.monthly_panel(spark, sf_dir).select("ts", "inst", "close", "open", "volume")
-    return keyed(sequential.rolling_ridge(panel, "close", ["open", "volume"], 24, 1.0), F.round("predicted", 4).alias("predicted"))
-
-
 @register("portfolio_weights")
 def portfolio_weights(spark, sf_dir):
     """Weights of three alphas by several methods, from one covariance made in Spark."""
@@ -633,26 +614,3 @@ SELECT category, count(*) AS alphas, CAST(count_if(coalesce(archived, false)) AS
 FROM alphas LEFT JOIN s ON id = alpha_id GROUP BY category""")
 def catalog_summary(spark, sf_dir):
     return catalog.summary(*_catalog(spark, sf_dir))
-
-
-#: The signals of the batch evaluation: name to Spark expression.
-BATCH = {
-    "reversal_2": lambda: -ts.delta(_c("close"), 2), "reversal_5": lambda: -ts.delta(_c("close"), 5), "momentum_10": lambda: ts.delta(_c("close"), 10),
-    "close_vs_mean_5": lambda: ts.av_diff(_c("close"), 5), "close_vs_mean_20": lambda: ts.av_diff(_c("close"), 20), "z_10": lambda: ts.rolling_zscore(_c("close"), 10),
-    "shifted_z_10": lambda: ts.ts_zscore(_c("close"), 10), "volatility_10": lambda: -ts.stddev(_c("close"), 10), "skew_12": lambda: -ts.skewness(_c("close"), 12),
-    "kurt_12": lambda: ts.kurtosis(_c("close"), 12), "price_volume_10": lambda: -ts.correlation(_c("close"), _c("volume"), 10), "cov_10": lambda: -ts.covariance(_c("close"), _c("volume"), 10),
-    "rank_10": lambda: ts.ts_rank(_c("close"), 10), "range_10": lambda: ts.ts_scale(_c("close"), 10), "volume_change": lambda: ts.delta(_c("volume"), 1),
-    "volume_entropy": lambda: ts.entropy(_c("volume"), 10), "open_gap": lambda: ew.over(_c("open"), ts.delay(_c("close"), 1)) - 1, "body": lambda: candles.body_ratio(),
-    "vwap_gap": lambda: ew.over(_c("close"), _c("vwap")) - 1, "residual_12": lambda: ts.regression(_c("close"), _c("volume"), 12),
-}
-
-
-@register("batch_expressions_ic")
-def batch_expressions_ic(spark, sf_dir):
-    """Rank IC per time of twenty expressions, evaluated in one plan: one window stage, then one cross-sectional stage."""
-    panel = bt.with_returns(src.monthly_panel(spark, sf_dir), 1)
-    panel = panel.select("ts", "inst", "ret", *(c().alias(n) for n, c in BATCH.items()))
-    long = panel.unpivot(["ts", "inst", "ret"], list(BATCH), "alpha", "s").where("s IS NOT NULL AND ret IS NOT NULL")
-    ranked = long.select("alpha", "ts", xs.rank(_c("s"), "alpha").alias("a"), xs.rank(_c("ret"), "alpha").alias("b"))
-    made = ranked.groupBy("alpha", "ts").agg(xs.corr_of("a", "b").alias("ic"), F.count("*").alias("n")).where("n >= 10")
-    return made.select("alpha", F.col("ts").cast("date").alias("ts"), F.round("ic", 6).alias("ic"), "n")
