@@ -186,3 +186,50 @@ def test_empty_panel(spark):
     rules = backtest.Rules(neutralization="sector")
     assert backtest.simulate(empty, "s", rules).count() == 0
     assert backtest.metrics(backtest.simulate(empty, "s", rules), rules, ("ts",)).count() == 0
+
+
+def test_newey_west_of_an_empty_series(spark):
+    empty = spark.createDataFrame([], "ts timestamp, slope double")
+    assert aggregates.newey_west(empty).collect() == [(None, None, None, 0)]
+
+
+def test_aggregates_of_an_empty_panel(spark):
+    empty = spark.createDataFrame([], "ts timestamp, inst string, s double, ret double, open double, high double, low double, close double, volume double")
+    assert aggregates.spearman_ic(empty, "s", "ret").count() == 0
+    assert aggregates.batch_ic(empty, ["s"], "ret").count() == 0
+    assert aggregates.quantile_spread(empty, "s", "ret").count() == 0
+    assert aggregates.section_regression(empty, "ret", "s").count() == 0
+    assert {r.n for r in quality.cross_checks(empty).collect()} == {0}
+
+
+def test_change_runs_and_moments(spark):
+    values = [1.0, 1.0, None, 2.0, 2.0, 2.0, 3.0]
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(values)], "ts int, inst string, x double")
+    made = ts.with_days_from_last_change(ts.with_change_run(df, "x"), "x").orderBy("ts").collect()
+    assert [r.run for r in made] == [1, 1, 2, 3, 3, 3, 4]
+    assert [r.days for r in made] == [0, 1, 0, 0, 1, 2, 0]
+    moment = [r.moment for r in ts.with_moment(df, "x", 3).orderBy("ts").collect()]
+    wide = pd.Series(values)
+    gap = wide - wide.rolling(3, min_periods=2).mean()
+    want = (gap**2).rolling(3, min_periods=2).mean()
+    assert [m is None for m in moment] == want.isna().tolist()
+    np.testing.assert_allclose([m for m in moment if m is not None], want.dropna())
+
+
+def test_tiered_costs(spark):
+    row = spark.createDataFrame([(100.0, 50.0, 0.0), (10.0, 1.0, 0.0), (1000.0, 20.0, 4e8), (0.0, 5.0, 0.0)], "n double, p double, m double")
+    got = [r.c for r in row.select(backtest.tiered_commission(F.col("n"), F.col("p"), F.col("m")).alias("c")).collect()]
+    np.testing.assert_allclose(got, [0.35, 0.35, 0.5, 0.0])
+    fees = [r.c for r in row.select(backtest.regulatory_fees(F.col("n"), F.col("p"), F.lit(True)).alias("c")).collect()]
+    np.testing.assert_allclose(fees, [0.03 + 5000 * 2.78e-5 + 0.0145, 0.003 + 10 * 2.78e-5 + 0.00145, 0.3 + 2e4 * 2.78e-5 + 0.145, 0.0])
+
+
+def test_long_only_weights_by_a_plain_loop():
+    """Minimum variance and risk parity against a search over a fine grid of weights."""
+    cov = np.array([[0.04, 0.01], [0.01, 0.09]])
+    grid = np.linspace(0, 1, 20001)
+    weights = np.stack([grid, 1 - grid], 1)
+    variance = np.einsum("ni,ij,nj->n", weights, cov, weights)
+    np.testing.assert_allclose(portfolio.min_variance(cov), weights[variance.argmin()], atol=1e-3)
+    shares = weights * (weights @ cov)
+    np.testing.assert_allclose(portfolio.risk_parity(cov), weights[np.abs(shares[:, 0] - shares[:, 1]).argmin()], atol=1e-3)
