@@ -9,10 +9,8 @@ tables stay until ``clear``, as results that were returned may still read them.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,14 +49,3 @@ def clear(spark: SparkSession) -> None:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs whose DataFrames are gone.
-
-    Its cleaner acts on objects that the driver's JVM has collected, which an idle driver may not do for half an hour.
-    """
-    for _ in range(2):  # the first pass only finds the last references that Python or a listener has just dropped
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
