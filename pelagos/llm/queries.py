@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from pelagos.llm import quality_cnn
 from pelagos.llm.bpe import with_token_columns
+from pelagos.llm.chat_format import ChatTemplate, as_replies, format_chats, read_back
 from pelagos.llm.decontamination import contained_items
 from pelagos.llm.exact_dedup import exact_dedup
+from pelagos.llm.fill_middle import fill_in_middle, restored
+from pelagos.llm.filter_audit import filter_audit
 from pelagos.llm.license_scan import scan_licences
 from pelagos.llm.secrets import KINDS, scan_secrets
 from pelagos.llm.simhash import simhash_dedup
@@ -100,6 +103,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select(
+        F.col("id").alias("doc_id"),
+        *("n", "form", "prefix_chars", "middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a conversation made of another template's control strings, read back with the rest
+    planted = spark.range(2).selectExpr(
+        "-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text"
+    )
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    found = read_back(format_chats(as_replies(talks)))
+    return found.withColumnRenamed("tree", "conv_id").drop("leaf")
+
+
 OP9_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
      g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -167,6 +194,66 @@ WITH u AS (SELECT page_id, url,
 SELECT page_id, host, path, rule, CASE WHEN coalesce(rule IN ('com/', 'www.example.com/en/'), good) THEN 'allow' ELSE 'block' END AS verdict FROM v
 """.replace("SUFFIXES", "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES))
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u,
+             ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+     c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+     p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+     e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+     l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+     w AS (SELECT d.doc_id, part, t, least, good, toxic, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d JOIN e USING (t) LEFT JOIN l USING (doc_id)),
+     f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask FROM w),
+     m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+     b(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+     o AS (SELECT a.c || b2.c || c2.c || d2.c || e2.c AS filter_order, [a.bit, b2.bit, c2.bit, d2.bit, e2.bit] AS bits
+           FROM b a, b b2, b c2, b d2, b e2 WHERE len(list_distinct([a.c, b2.c, c2.c, d2.c, e2.c])) = 5),
+     s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+     r AS (SELECT part, filter_order, step, own,
+             sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN g ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN x ELSE 0 END) AS toxic_lost
+           FROM s, m GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+_CHAT = ChatTemplate()
+
+OP13_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     e AS (SELECT *, MARKS + length(role) + length(text) + ESCAPES AS chars FROM c),
+     g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars
+           FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
+FROM g
+""".replace("MARKS", str(len(_CHAT.open + _CHAT.mid + _CHAT.close))).replace(
+    "ESCAPES",  # one sign for each control string, or escape sign, in role and text
+    " + ".join(f"(length({c}) - length(replace({c}, '{k}', ''))) // {len(k)}" for c in ("role", "text") for k in ("\\", *_CHAT.all_controls)),
+)
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -178,10 +265,16 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_chat_format": op13_chat_format,
 }
 ORACLE_SQL = {
     "op2_url_filter": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_fill_middle": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_chat_format": OP13_SQL,
 }
