@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelagos.operators.optimise import Programme, solve
+
 
 def moments(returns: DataFrame, most: int = 1000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Names, means and sample covariance of (alpha, ts, r), over each pair's common times."""
@@ -51,24 +53,12 @@ def risk_parity(cov: np.ndarray, steps: int = 500) -> np.ndarray:
     return w / w.sum()
 
 
-def mean_variance(mean: np.ndarray, cov: np.ndarray, aversion: float = 1.0, previous: np.ndarray | None = None, cost: float = 0.0, steps: int = 3000) -> np.ndarray:
-    """Maximises mean less variance less proportional trading cost over the simplex, by projected subgradient steps."""
-    w = np.full(len(mean), 1 / len(mean)) if previous is None else previous.copy()
-    base, best, best_value = w.copy(), w, -math.inf
-    pace = 1 / (aversion * np.linalg.norm(cov, 2) + np.abs(mean).max() + cost + 1e-12)
-    for k in range(steps):
-        value = mean @ w - aversion / 2 * w @ cov @ w - cost * np.abs(w - base).sum()
-        if value > best_value:
-            best, best_value = w, value
-        w = project_simplex(w + pace / math.sqrt(k + 1) * (mean - aversion * cov @ w - cost * np.sign(w - base)))
-    return best
-
-
-def project_simplex(v: np.ndarray) -> np.ndarray:
-    """Nearest point with entries of at least zero that sum to one."""
-    u = np.sort(v)[::-1]
-    over = (np.cumsum(u) - 1) / np.arange(1, len(v) + 1)
-    return np.clip(v - over[np.flatnonzero(u > over)[-1]], 0, None)
+def mean_variance(mean: np.ndarray, cov: np.ndarray, aversion: float = 1.0, previous: np.ndarray | None = None, cost: float = 0.0) -> np.ndarray:
+    """Maximises mean less variance less proportional trading cost over the simplex."""
+    values, vectors = np.linalg.eigh(cov)
+    x = np.sqrt(np.clip(values, 0, None))[:, None] * vectors.T
+    previous = np.full(len(mean), 1 / len(mean)) if previous is None else previous
+    return solve(mean, np.zeros(len(mean)), x, Programme(aversion=aversion, cost=cost), previous)[0]
 
 
 def shrunk(cov: np.ndarray, weight: float) -> np.ndarray:
