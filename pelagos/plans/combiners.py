@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pelagos.functions import timeseries as ts
 from pelagos.functions.cross_section import corr_of
 from pelagos.functions.elementwise import clip, over
-from pelagos.operators import sequential
+from pelagos.operators import order_stats, sequential
 
 
 def _share(x: Column) -> Column:
@@ -81,8 +81,8 @@ def regime_scale(panel: DataFrame, ret: str, n: int = 84, slow: float = 42.0, sm
     """(ts, scale): how much to lever when the market's volatility leaves its median so far; between 0.2 and 2.5."""
     one = market_series(panel, ret, n).select(F.lit("market").alias("alpha"), "ts", F.col("deviation").alias("v"))
     vol = sequential.ewm_mean(one, "v", 1 - 0.5 ** (1 / slow), "vol", ("alpha",))
-    middle = F.percentile("vol", F.lit(0.5)).over(Window.partitionBy("alpha").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    raw = vol.withColumn("middle", F.greatest(middle, F.lit(1e-4))).withColumn("raw", clip(over(F.col("middle"), F.col("vol")), 0.2, 2.5))
+    vol = order_stats.expanding_quantile(vol, "vol", keys=("alpha",), out="middle")
+    raw = vol.withColumn("middle", F.greatest("middle", F.lit(1e-4))).withColumn("raw", clip(over(F.col("middle"), F.col("vol")), 0.2, 2.5))
     made = sequential.ewm_mean(raw.select("alpha", "ts", "raw"), "raw", 1 - 0.5 ** (1 / smooth), "scale", ("alpha",))
     return made.select("ts", "scale")
 
