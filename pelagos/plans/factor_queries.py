@@ -11,8 +11,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pelagos.functions.elementwise import clip, over
+from pelagos.functions.elementwise import clip, log, over
 from pelagos.operators import factors, optimise
+from pelagos.operators import random_features as rff
 from pelagos.plans.queries import PANEL_KEYS, PANEL_SQL, keyed, register, rounded
 from pelagos.scratch import written
 from pelagos.sources import panel as src
@@ -171,3 +172,41 @@ def qp_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = optimise.optimality_gap(own, returns, 24, rules)
     total = made.groupBy("ts").agg(F.count("*").alias("names"), F.round(F.sum("w"), 6).alias("total"))
     return total.join(gap, "ts").select(F.col("ts").cast("date").alias("ts"), "names", "total", F.round("gap", 6).alias("gap"))
+
+
+FIT = rff.Fit(features=3, horizon=2, window=26, every=6, warmup=30, ridge=40.0, least_rows=20)
+FIELDS = ["o", "size", "width", "volume"]
+
+
+def _row(values) -> str:
+    return "[" + ", ".join(f"{float(v)!r}" for v in values) + "]"
+
+
+RFF_SQL = f"""
+WITH RECURSIVE {RETURNS_SQL},
+c0 AS (SELECT inst, ts, least(greatest(coalesce(r, 0), -0.5), 0.5) AS r, o, CASE WHEN dollars > 0 THEN ln(dollars) END AS size, (high - low) / close AS width, volume FROM ret),
+z AS (SELECT inst, ts, t, r, [{", ".join(f"coalesce(CASE WHEN count(c0.{f}) OVER w >= 5 AND stddev_pop(c0.{f}) OVER w >= 1e-10 AND c0.{f} IS NOT NULL THEN least(greatest((c0.{f} - avg(c0.{f}) OVER w) / stddev_pop(c0.{f}) OVER w, -5), 5) END, 0)" for f in FIELDS)}] AS x
+      FROM c0 JOIN (SELECT DISTINCT ts, t FROM x) USING (ts) WINDOW w AS (PARTITION BY ts)),
+p AS (SELECT inst, ts, t, [list_dot_product(x, d) FOR d IN [{", ".join(_row(d) for d in rff.directions(len(FIELDS), FIT.features, FIT.seed))}]] AS p,
+        lead(r, 1) OVER l + lead(r, 2) OVER l AS y FROM z WINDOW l AS (PARTITION BY inst ORDER BY t)),
+f AS (SELECT inst, ts, t, least(greatest(CASE WHEN y IS NOT NULL THEN y END, -0.1), 0.1) AS y, y IS NOT NULL AS known,
+        list_concat([sin(v) / sqrt(3) FOR v IN p], [cos(v) / sqrt(3) FOR v IN p]) AS f FROM p),
+ends AS (SELECT unnest(range(30, n, 6)) AS e FROM (SELECT max(t) + 1 AS n FROM x)),
+cell AS (SELECT e, i, j, sum(f[i] * f[j]) + CASE WHEN i = j THEN 40 ELSE 0 END AS a, sum(f[i] * y) AS c, count(*) AS n
+         FROM ends JOIN f ON t >= e - 26 AND t < e - 2 AND known, range(1, 7) ri(i), range(1, 7) rj(j) GROUP BY e, i, j),
+line AS (SELECT e, i, n, list(a ORDER BY j) AS a, any_value(c) AS c FROM cell GROUP BY e, i, n),
+eq AS (SELECT e, list(a ORDER BY i) AS a, list(c ORDER BY i) AS c, max(list_sum(list_transform(a, lambda v: abs(v)))) AS top FROM line WHERE n >= 20 GROUP BY e),
+it AS (SELECT e, 0 AS k, [0.0::DOUBLE FOR v IN c] AS b FROM eq
+       UNION ALL SELECT e, k + 1, list_transform(range(1, 7), lambda i: b[i] + (c[i] - list_dot_product(a[i], b)) / top) FROM it JOIN eq USING (e) WHERE k < 2500),
+beta AS (SELECT e, b FROM it WHERE k = 2500)
+SELECT {PANEL_KEYS}, round(list_dot_product(f, b), 6) AS predicted FROM f LEFT JOIN beta ON e = 30 + (t - 30) // 6 * 6 AND t >= 30
+"""
+
+
+@register("rff_forecast", RFF_SQL)
+def rff_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-month returns forecast by ridge regressions on random features, refitted every half year."""
+    panel = return_panel(spark, sf_dir)
+    size, width = log(F.col("dollars")), over(F.col("high") - F.col("low"), F.col("close"))
+    panel = panel.select("ts", "inst", clip(F.coalesce("r", F.lit(0.0)), -0.5, 0.5).alias("r"), "o", size.alias("size"), width.alias("width"), "volume")
+    return keyed(rff.rff_predict(panel, FIELDS, "r", FIT), *rounded(predicted=F.col("predicted")))
