@@ -23,6 +23,7 @@ from pelagos.plans import catalog, quality, universe
 from pelagos.scratch import scratch_dir
 from pelagos.sources import panel as src
 from pelagos.streaming import candles as stream
+from pelagos.streaming import warm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -586,6 +587,29 @@ def stream_candles(spark, sf_dir):
     return made.select("symbol", F.unix_seconds("ts").alias("at"), F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), "volume")
 
 
+@register("stream_warm_weights", """WITH o AS (SELECT event_type AS symbol, ts, 'a' || (user_id % 5) AS alpha, CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS net FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY symbol, alpha ORDER BY ts DESC) AS place FROM o WHERE net IS NOT NULL),
+m AS (SELECT symbol, alpha, avg(net) AS m FROM l WHERE place <= 50 GROUP BY 1, 2),
+p AS (SELECT *, max(m) OVER (PARTITION BY symbol) > 0 AS any_up, row_number() OVER (PARTITION BY symbol ORDER BY m DESC, alpha) AS place FROM m),
+w AS (SELECT symbol, alpha, CASE WHEN any_up THEN m ELSE 1 END AS w FROM p WHERE CASE WHEN any_up THEN m > 0 ELSE place <= 3 END)
+SELECT symbol, alpha, round(w / sum(w) OVER (PARTITION BY symbol), 6) AS weight FROM w""")
+def stream_warm_weights(spark, sf_dir):
+    """Weights after a stream of the last third of the events, begun with the state of those before as history."""
+    warm.use_keyed_state(spark)
+    known = spark.read.parquet(f"{sf_dir}/events.parquet")
+    net = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(-F.col("value"))
+    named = lambda df: df.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("a"), F.col("user_id") % 5).alias("alpha"), net.alias("net"))
+    fresh = F.col("ts") >= F.to_timestamp(F.lit("2024-01-20"))
+    stream_in = named(spark.readStream.schema(known.schema).parquet(f"{sf_dir}/events*.parquet")).where(fresh)
+    out = f"{scratch_dir(spark)}/warm-{uuid.uuid4().hex}"
+    put = lambda batch, n: batch.write.mode("append").parquet(f"{out}/table")
+    run = warm.warm_weights(stream_in, named(known).where(~fresh), 50).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint")
+    run.foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    made = spark.read.schema("symbol string, ts timestamp, alpha string, weight double").parquet(f"{out}/table").where("alpha IS NOT NULL")
+    last = made.groupBy("symbol").agg(F.max("ts").alias("ts"))
+    return made.join(last, ["symbol", "ts"]).select("symbol", "alpha", F.round("weight", 6).alias("weight"))
+
+
 _CATALOG = """alphas AS (SELECT p_partkey AS id, p_name AS expression, p_type AS category, p_size > 45 AS archived FROM part),
 evaluations AS (SELECT o_orderkey AS id, o_custkey % 300 + 1 AS alpha_id, o_totalprice / 1e5 AS sharpe, o_orderdate AS evaluated_at FROM orders)"""
 

@@ -1,16 +1,13 @@
-"""Streaming candles: closed bars, duplicates, windows, and keyed adaptive weights with state.
+"""Streaming candles: closed bars, duplicates, windows and settlement; keyed weights with state are in ``warm``.
 
-The source is any streaming DataFrame with a JSON ``value``; a watermark bounds every state.
+The source is any streaming DataFrame with a JSON ``value``; a watermark bounds every state but that of
+``running_accuracy``, which keeps a row per symbol.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CANDLE = "k struct<s:string,t:long,o:string,h:string,l:string,c:string,v:string,q:string,n:long,x:boolean>"
 LATE = "10 minutes"
@@ -57,31 +54,3 @@ def settled(positions: DataFrame, outcomes: DataFrame, late: str = LATE) -> Data
 def running_accuracy(results: DataFrame) -> DataFrame:
     """Per symbol: results, wins and win rate; for update or complete mode."""
     return results.groupBy("symbol").agg(F.count("*").alias("n"), F.sum((F.col("pnl") > 0).cast("int")).alias("wins"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
-
-
-def adaptive_weights(outcomes: DataFrame, lookback: int = 50, top: int = 3) -> DataFrame:
-    """Per (symbol, alpha) outcomes to weights: positive means of the last ``lookback`` outcomes, scaled to one.
-
-    Where no mean is positive, the ``top`` alphas share the weight.  State per symbol: at most ``lookback`` outcomes per
-    alpha, kept in event-time order within a batch.  ``outcomes`` has symbol, ts, alpha and net.
-    """
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, series = state.get if state.exists else ([], [])
-        past = {n: list(s) for n, s in zip(names, series, strict=True)}
-        fresh = pd.concat(list(batches)).sort_values(["ts", "alpha"], kind="stable")
-        for alpha, net in zip(fresh["alpha"], fresh["net"], strict=True):
-            past[alpha] = (past.get(alpha, []) + [float(net)])[-lookback:]
-        state.update((list(past), [list(s) for s in past.values()]))
-        means = {n: sum(s) / len(s) for n, s in past.items()}
-        raw = {n: m for n, m in means.items() if m > 0}
-        if not raw:
-            raw = {n: 1.0 for n in sorted(means, key=lambda n: (-means[n], n))[:top]}
-        total = sum(raw.values())
-        rows = [(key[0], fresh["ts"].max(), n, w / total) for n, w in sorted(raw.items())]
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "alpha", "weight"])
-
-    return outcomes.groupBy("symbol").applyInPandasWithState(
-        update, "symbol string, ts timestamp, alpha string, weight double",
-        "names array<string>, series array<array<double>>", "update", GroupStateTimeout.NoTimeout,
-    )
