@@ -118,11 +118,11 @@ def granger(pairs: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
     return made.select(*keys, "n", "f", _tail(F.col("f"), F.col("n") - 3).alias("p"))
 
 
-def f_tail(f: float, d: float) -> float:
-    """P(F > f) with 1 and ``d`` degrees of freedom: a regularised incomplete beta function by its continued fraction."""
+def f_tail(f: float, d: float, d1: float = 1) -> float:
+    """P(F > f) with ``d1`` and ``d`` degrees of freedom: a regularised incomplete beta function by its continued fraction."""
     if f <= 0:
         return 1.0
-    a, b, x = d / 2, 0.5, d / (d + f)
+    a, b, x = d / 2, d1 / 2, d / (d + d1 * f)
     if x > (a + 1) / (a + b + 2):
         return 1 - _beta(b, a, 1 - x)
     return _beta(a, b, x)

@@ -42,13 +42,18 @@ def named_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(panel.select("ts", "inst", "ret", F.explode(pairs).alias("p")).select("p.alpha", "ts", "inst", "p.s", "ret"), "signals")
 
 
-_SIGNALS_SQL = f"""{PANEL_SQL},
+def signals_sql() -> str:
+    """Steps up to hel, each signal's position h at every bar."""
+    return f"""{PANEL_SQL},
 cols AS (SELECT inst, ts, (dense_rank() OVER (ORDER BY ts) - 1)::INT AS t, CASE WHEN close / nullif(lag(close) OVER s, 0) IS NOT NULL THEN least(greatest(close / nullif(lag(close) OVER s, 0) - 1, -0.5), 0.5) END AS ret,
          {", ".join(f"{sql} AS {n}" for n, sql in _SQL.items())} FROM panel WINDOW s AS (PARTITION BY inst ORDER BY ts)),
 sig AS (SELECT * FROM cols UNPIVOT INCLUDE NULLS (s FOR alpha IN ({", ".join(_SQL)}))),
 dem AS (SELECT *, s - avg(s) OVER (PARTITION BY alpha, t) AS d FROM sig),
 sca AS (SELECT *, d / nullif(sum(abs(d)) OVER (PARTITION BY alpha, t), 0) AS w FROM dem),
-hel AS (SELECT *, lag(w) OVER (PARTITION BY alpha, inst ORDER BY t) AS h FROM sca),
+hel AS (SELECT *, lag(w) OVER (PARTITION BY alpha, inst ORDER BY t) AS h FROM sca)"""
+
+
+_SIGNALS_SQL = f"""{signals_sql()},
 fr AS (SELECT alpha, t, coalesce(sum(h * ret), 0) AS r FROM hel GROUP BY alpha, t),
 fold AS (SELECT (c - 48) // 6 AS fold, c FROM (SELECT unnest(range(48, max(t) + 1, 6)) AS c FROM sig)),
 cell AS (SELECT fold, alpha, t >= c - 12 AS val, CASE WHEN t IN (c - 36, c - 12) THEN 0 ELSE r END AS r FROM fold JOIN fr ON t >= c - 36 AND t < c),
