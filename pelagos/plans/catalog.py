@@ -40,3 +40,21 @@ def pnl_correlation(stored: DataFrame, pnl: list[float], least: int = 20) -> Dat
     total = lambda f: F.aggregate("p", F.lit(0.0), lambda s, e: s + f(e["x"] - F.col("mx"), e["y"] - F.col("my")))
     made = made.select("id", total(lambda x, y: x * y).alias("c"), total(lambda x, y: x * x).alias("a"), total(lambda x, y: y * y).alias("b"))
     return made.where("a > 0 AND b > 0").select("id", (F.col("c") / F.sqrt(F.col("a") * F.col("b"))).alias("corr"))
+
+
+def selection_history(selections: DataFrame, alphas: DataFrame, run_id: int) -> DataFrame:
+    """A run's selections with expression and category of each alpha; by bar, and within it the greatest weight first.
+
+    ``place`` says the order; ties go by alpha.
+    """
+    own = selections.where(F.col("run_id") == run_id)
+    both = own.join(alphas.select(F.col("id").alias("alpha_id"), "expression", "category"), "alpha_id")
+    order = Window.partitionBy("bar_index").orderBy(F.desc_nulls_last("weight"), "alpha_id")
+    return both.withColumn("place", F.row_number().over(order))
+
+
+def as_pairs(correlations: DataFrame) -> DataFrame:
+    """Correlations under ordered pairs of alphas; of several for a pair the last one computed."""
+    pair = correlations.withColumn("a", F.least("alpha_a", "alpha_b")).withColumn("b", F.greatest("alpha_a", "alpha_b"))
+    last = F.max_by("correlation", F.struct("computed_at", "correlation")).alias("correlation")
+    return pair.where("a <> b").groupBy("a", "b").agg(last, F.max("computed_at").alias("computed_at"))

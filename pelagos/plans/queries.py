@@ -22,6 +22,7 @@ from pelagos.plans import backtest as bt
 from pelagos.plans import catalog, quality, universe
 from pelagos.scratch import scratch_dir
 from pelagos.sources import panel as src
+from pelagos.sources.keyed import KeyedTable
 from pelagos.streaming import candles as stream
 from pelagos.streaming import warm
 
@@ -638,3 +639,33 @@ SELECT category, count(*) AS alphas, CAST(count_if(coalesce(archived, false)) AS
 FROM alphas LEFT JOIN s ON id = alpha_id GROUP BY category""")
 def catalog_summary(spark, sf_dir):
     return catalog.summary(*_catalog(spark, sf_dir))
+
+
+@register("catalog_upsert", """SELECT p_partkey AS id, p_name AS expression, CASE WHEN p_size > 20 THEN 'second' ELSE 'first' END AS run, CASE WHEN p_size > 20 THEN p_retailprice * 2 ELSE p_retailprice END AS sharpe
+FROM part WHERE p_size > 20 OR p_size <= 30""")
+def catalog_upsert(spark, sf_dir):
+    """A keyed table after a first write and an upsert of newer rows, each published as a generation."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    table = KeyedTable(spark, f"{scratch_dir(spark)}/catalog-{uuid.uuid4().hex}", ["id"])
+    rows = lambda run, times: part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("expression"), F.lit(run).alias("run"), (F.col("p_retailprice") * times).alias("sharpe"), "p_size")
+    table.replace(rows("first", 1.0).where("p_size <= 30").drop("p_size"))
+    table.upsert(rows("second", 2.0).where("p_size > 20").drop("p_size"))
+    return table.read()
+
+
+@register("selection_history", """WITH s AS (SELECT o_orderkey AS id, o_custkey % 7 AS run_id, CAST(o_orderdate AS DATE) AS bar_index, o_custkey % 50 + 1 AS alpha_id, o_totalprice AS weight FROM orders)
+SELECT s.id, bar_index, alpha_id, p_name AS expression, p_type AS category, CAST(row_number() OVER (PARTITION BY bar_index ORDER BY weight DESC, alpha_id) AS INT) AS place FROM s JOIN part ON p_partkey = alpha_id WHERE run_id = 3""")
+def selection_history(spark, sf_dir):
+    alphas, _ = _catalog(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    chosen = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("run_id"), F.col("o_orderdate").cast("date").alias("bar_index"), (F.col("o_custkey") % 50 + 1).alias("alpha_id"), F.col("o_totalprice").alias("weight"))
+    return catalog.selection_history(chosen, alphas, 3).select("id", "bar_index", "alpha_id", "expression", "category", "place")
+
+
+@register("stored_correlations", """WITH c AS (SELECT o_custkey % 40 AS x, o_orderkey % 40 AS y, o_totalprice AS c, o_orderdate AS at0 FROM orders),
+p AS (SELECT least(x, y) AS a, greatest(x, y) AS b, c, at0 FROM c WHERE x <> y)
+SELECT a, b, round(arg_max(c, struct_pack(p := at0, q := c)), 6) AS correlation FROM p GROUP BY a, b""")
+def stored_correlations(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = orders.select((F.col("o_custkey") % 40).alias("alpha_a"), (F.col("o_orderkey") % 40).alias("alpha_b"), F.col("o_totalprice").alias("correlation"), F.col("o_orderdate").alias("computed_at"))
+    return catalog.as_pairs(found).select("a", "b", F.round("correlation", 6).alias("correlation"))
