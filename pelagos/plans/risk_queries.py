@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelagos.functions.elementwise import clip, over
+from pelagos.operators import rolling_fit
 from pelagos.plans import risk
 from pelagos.plans.factor_queries import RETURNS_SQL, return_panel
 from pelagos.plans.fold_queries import named_signals, signals_sql
@@ -154,3 +155,30 @@ def decoded_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = Window.partitionBy("alpha").orderBy("ts").rowsBetween(-11, 0)
     expected = neutral_returns(signals).select("ts", "alpha", F.avg("r").over(year).alias("e"))
     return risk.decoded_returns(scaled_positions(signals), expected, 0.01).select("inst", F.round("r", 6).alias("r"))
+
+
+RESIDUAL_SQL = f"""WITH {signals_sql()},
+raw AS (SELECT alpha, t, coalesce(sum(h * ret), 0) AS r FROM hel WHERE alpha IN ({", ".join(f"'{a}'" for a in ALPHAS)}) GROUP BY alpha, t),
+ex AS (SELECT alpha, t, r, avg(r) OVER (PARTITION BY alpha ORDER BY t ROWS 5 PRECEDING) AS e FROM raw),
+en AS (SELECT unnest(range(23, n)) AS c FROM (SELECT max(t) + 1 AS n FROM ex)),
+wi AS (SELECT c, alpha, t, r, e FROM en JOIN ex ON t > c - 24 AND t <= c),
+st AS (SELECT c, alpha, avg(r) AS mu, stddev_samp(r) AS s FROM wi GROUP BY c, alpha),
+ce AS (SELECT c, alpha, list(r - mu ORDER BY t) AS x, list(e ORDER BY t) AS y, any_value(s) AS s, arg_max(r - mu, t) AS xl, arg_max(e, t) AS el FROM wi JOIN st USING (c, alpha) GROUP BY c, alpha),
+pr AS (SELECT p.c, p.alpha, p.xl, list(list_dot_product(p.x, q.x) ORDER BY q.alpha) AS m, list(list_dot_product(p.x, q.y) ORDER BY q.alpha) AS k FROM ce p JOIN ce q USING (c) GROUP BY ALL),
+al AS (SELECT c, list(m ORDER BY alpha) AS m, list(k ORDER BY alpha) AS k, list(xl ORDER BY alpha) AS xl FROM pr GROUP BY c),
+d3 AS (SELECT *, {_DET} AS det FROM al),
+iv AS (SELECT c, k, xl, {_INVERSE} AS inv FROM d3),
+zz AS (SELECT c, k, [list_dot_product(inv[i], xl) FOR i IN [1, 2, 3]] AS z FROM iv),
+tl AS (SELECT c, unnest({ALPHAS}) AS alpha, unnest([z[1] * k[1][j] + z[2] * k[2][j] + z[3] * k[3][j] FOR j IN [1, 2, 3]]) AS told FROM zz),
+rw AS (SELECT c, alpha, (told / s - el / s) / s AS raw FROM tl JOIN ce USING (c, alpha))
+SELECT CAST(ts AS DATE) AS ts, alpha, round(raw / sum(raw) OVER (PARTITION BY c), 5) AS w FROM rw JOIN (SELECT DISTINCT t AS c, ts FROM cols) USING (c)"""
+
+
+@register("residual_weights", RESIDUAL_SQL)
+def residual_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of three signals by what two years of their returns leave of their expectations."""
+    signals, _ = _three(spark, sf_dir)
+    half = Window.partitionBy("alpha").orderBy("ts").rowsBetween(-5, 0)
+    returns = neutral_returns(signals).select("alpha", "ts", F.coalesce("r", F.lit(0.0)).alias("r"))
+    made = rolling_fit.residual_weights(returns.withColumn("e", F.avg("r").over(half)), 24)
+    return made.select(F.col("ts").cast("date").alias("ts"), "alpha", F.round("w", 5).alias("w"))
