@@ -207,6 +207,12 @@ def regression(y: Column, x: Column, n: int = 252, kind: str = "residual") -> Co
     return F.when(ready, made[kind])
 
 
+def with_lagged_regression(panel: DataFrame, y: str, x: str, n: int = 252, lag: int = 0, kind: str = "residual", out: str = "regression") -> DataFrame:
+    """``panel`` with ``regression`` of y on the x of ``lag`` rows before."""
+    made = panel.withColumn("_x", F.lag(x, lag).over(series())) if lag else panel.withColumn("_x", F.col(x))
+    return made.withColumn(out, regression(F.col(y), F.col("_x"), n, kind)).drop("_x")
+
+
 def decay_linear(x: Column, n: int = 10) -> Column:
     """Weights 1..m, newest heaviest, for the m rows there are; missing where one of them is."""
     w = trailing(n)

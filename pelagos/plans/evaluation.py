@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelagos.functions.elementwise import over
+from pelagos.plans import backtest as bt
 
 
 def _sharpe(r: str, bars_per_year: int) -> Column:
@@ -45,6 +47,26 @@ def walk_forward(returns: DataFrame, inside: int, outside: int, folds: int) -> D
     return made.where("sample IS NOT NULL").drop("place", "n", "fit", "i", "begin")
 
 
+def simulate_apart(panel: DataFrame, prepare: Callable[[DataFrame], DataFrame] | None, signal: str, rules: bt.Rules, sides: DataFrame, keys: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """keys, ts and the per-time PnL of a signal that is simulated for each side by itself.
+
+    ``prepare`` adds the signal to a panel, from each side's own rows; None if the panel has it already.
+
+    ``sides`` says which times belong to which side: ts and the keys, from ``fixed_split`` or ``walk_forward`` over the
+    times.  No side sees another: positions, delays and changes begin anew, so the first rows of a side hold nothing.
+    """
+    own = panel.join(sides.select("ts", *keys), "ts")
+    # with the side inside both of its keys, every window of the simulation stays within one side
+    own = own.withColumn("inst", F.struct(*keys, "inst")).withColumn("ts", F.struct("ts", *keys))
+    made = bt.simulate(prepare(own) if prepare else own, signal, rules)
+    return made.select(*(F.col("ts")[k].alias(k) for k in keys), F.col("ts.ts").alias("at"), *made.columns[1:]).withColumnRenamed("at", "ts")
+
+
+def times_of(panel: DataFrame) -> DataFrame:
+    """The different times of a panel as one series, for ``fixed_split`` and ``walk_forward``."""
+    return panel.select(F.lit("all").alias("alpha"), "ts").distinct()
+
+
 def decay(samples: DataFrame, keys: list[str], bars_per_year: int = 252) -> DataFrame:
     """Per key: Sharpe and mean inside and outside, their ratios, and whether a positive Sharpe stayed positive."""
     each = samples.groupBy(*keys).pivot("sample", ["in", "out"]).agg(_sharpe("r", bars_per_year).alias("sharpe"), F.avg("r").alias("mean"), F.count(F.lit(1)).alias("n"))

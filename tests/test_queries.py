@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from pelagos.plans import cleaning_queries, factor_queries, fold_queries, queries, research_queries, risk_queries, signal_queries  # noqa: F401
+from pelagos.plans import cleaning_queries, derived_queries, factor_queries, fold_queries, queries, research_queries, risk_queries, signal_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
