@@ -11,7 +11,8 @@ and then compared shingle by shingle as text.
 Documents never leave their task.  Items travel to the tasks in blocks of at most ``block_shingles`` shingles, one pass
 over the documents for each block; an item longer than a block is a block of its own.
 
-Words are maximal runs of letters and digits of the lower-cased text; a text of fewer than five words is one shingle.
+Words are maximal runs of letters and digits of the lower-cased text.  An item of fewer words than a shingle is a single
+shingle of its own length: it is looked up among all runs of so many words, whatever the length of the document.
 
 Edge cases
     null or empty text   no shingles: an item is never found, a document contains nothing
@@ -49,16 +50,10 @@ def shingle_set(words: list[str], width: int) -> set[str]:
     return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-def _hashed(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Shingle hashes of a batch, the text of each, and the batch's words with their bounds."""
-    words, bounds = split_words(texts, lower_words=True)
-    own = word_hashes(words)
+def _shingles(own: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` words of a batch's word hashes, the text of each, and where it begins."""
     starts, text = window_starts(bounds, width)
-    hashes = window_hashes(own, width)[starts] if len(starts) else np.empty(0, np.uint64)
-    counts = np.diff(bounds)
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    few = [window_hashes(own[bounds[i] : bounds[i + 1]], int(counts[i]))[0] for i in short]
-    return np.concatenate([hashes, np.array(few, np.uint64)]), np.concatenate([text, short]), words, bounds
+    return (window_hashes(own, width)[starts] if len(starts) else np.empty(0, np.uint64)), text, starts
 
 
 class ItemIndex:
@@ -67,7 +62,10 @@ class ItemIndex:
     def __init__(self, items: list[tuple[object, str]], width: int, threshold: float):
         self.width, self.threshold = width, threshold
         self.ids, self.shingles, self.hashes, self.need = [], [], [], []
-        hashes, text, words, bounds = _hashed(pa.array([t for _, t in items], pa.string()), width)
+        words, bounds = split_words(pa.array([t for _, t in items], pa.string()), lower_words=True)
+        all_words = word_hashes(words)
+        hashes, text, _ = _shingles(all_words, bounds, width)
+        short: dict[int, list[tuple[int, int]]] = {}
         order = np.argsort(text, kind="stable")
         ends = np.searchsorted(text[order], np.arange(len(items) + 1))
         sketches: dict[int, list[tuple[int, int]]] = {}
@@ -77,7 +75,11 @@ class ItemIndex:
             if not shingles:
                 continue
             need = math.ceil(round(threshold * len(shingles), 9))
-            for h in own[: len(own) - need + 1].tolist():
+            if (count := int(bounds[i + 1] - bounds[i])) < width:
+                own = window_hashes(all_words[bounds[i] : bounds[i + 1]], count)
+                short.setdefault(count, []).append((int(own[0]), len(self.ids)))
+                shingles, need = {" ".join(words[bounds[i] : bounds[i + 1]].to_pylist())}, 1
+            for h in own[: len(own) - need + 1].tolist() if count >= width else ():
                 sketches.setdefault(len(own).bit_length(), []).append((h, len(self.ids)))
             self.ids.append(item)
             self.shingles.append(shingles)
@@ -88,10 +90,29 @@ class ItemIndex:
             entries.sort()
             least = min(self.need[i] for _, i in entries)
             self.partitions.append((least, np.array([h for h, _ in entries], np.uint64), np.array([i for _, i in entries])))
+        self.short = {k: (np.array([h for h, _ in sorted(e)], np.uint64), [i for _, i in sorted(e)]) for k, e in short.items()}
+
+    def _short_items(self, words: pa.Array, own: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) of every item of fewer words than a shingle, compared word by word."""
+        for k, (sketch, items) in self.short.items():
+            hashes, text, starts = _shingles(own, bounds, k)
+            begin = np.searchsorted(sketch, hashes, "left")
+            found = set()
+            for j in np.flatnonzero(sketch[np.minimum(begin, len(sketch) - 1)] == hashes).tolist():
+                at = begin[j]
+                while at < len(sketch) and sketch[at] == hashes[j]:
+                    pair = (int(text[j]), items[at])
+                    if pair not in found and " ".join(words[starts[j] : starts[j] + k].to_pylist()) in self.shingles[items[at]]:
+                        found.add(pair)
+                    at += 1
+            yield from found
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(text, item, shared shingles) of every text of a batch that contains enough of an item."""
-        hashes, text, words, bounds = _hashed(texts, self.width)
+        words, bounds = split_words(texts, lower_words=True)
+        all_words = word_hashes(words)
+        yield from ((i, item, 1) for i, item in sorted(self._short_items(words, all_words, bounds)))
+        hashes, text, _ = _shingles(all_words, bounds, self.width)
         sizes = np.bincount(text, minlength=len(texts))
         pairs = set()
         for least, sketch, items in self.partitions:

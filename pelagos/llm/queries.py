@@ -150,13 +150,16 @@ OP10_SQL = r"""
 WITH w AS (SELECT 0 AS side, doc_id AS k, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
            UNION ALL
            SELECT 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark),
-     i AS (SELECT side, k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0),
+     i AS (SELECT side, k, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
      s AS (SELECT DISTINCT side, k, array_to_string(w[i:i + 4], ' ') AS s FROM i),
      n AS (SELECT k, count(*) AS n FROM s WHERE side = 1 GROUP BY k),
      p AS (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS c FROM s d JOIN s b USING (s)
            WHERE d.side = 0 AND b.side = 1 GROUP BY 1, 2)
 SELECT doc_id, item_id, n AS n_shingles, c AS n_shared, c::DOUBLE / n AS containment
 FROM p JOIN n ON item_id = k WHERE c >= ceil(round(0.8 * n, 9))
+UNION ALL
+SELECT d.k, b.k, 1, 1, 1.0::DOUBLE FROM (SELECT * FROM w WHERE side = 1 AND len(w) BETWEEN 1 AND 4) b
+JOIN (SELECT * FROM w WHERE side = 0) d ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')
 """
 
 OP2_SQL = r"""
