@@ -357,9 +357,12 @@ def ohlc_resample(spark, sf_dir):
     return made.select("inst", F.col("ts").cast("date").alias("day"), *(F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")), "volume")
 
 
-@register("candle_signals", f"""WITH {_BARS}, c AS (SELECT *, close - lag(close) OVER s AS d, ln(close / lag(close, 4) OVER s) AS momentum, avg(close) OVER w AS m, avg(volume) OVER w AS v,
+_PRICED = ", ".join(f"CASE WHEN low > 0 THEN {c} END AS {c}" for c in ("open", "high", "low", "close"))
+
+
+@register("candle_signals", f"""WITH {_BARS}, kp AS (SELECT inst, ts, {_PRICED}, volume FROM k), c AS (SELECT *, close - lag(close) OVER s AS d, ln(close / lag(close, 4) OVER s) AS momentum, avg(close) OVER w AS m, avg(volume) OVER w AS v,
   min(low) OVER w AS lo, max(high) OVER w AS hi, stddev_samp(close) OVER w AS sd, avg(high - low) OVER w AS rg, avg(ln(high / low) ** 2) OVER w AS pk
-  FROM k WHERE low > 0 WINDOW s AS (PARTITION BY inst ORDER BY ts), w AS (PARTITION BY inst ORDER BY ts ROWS 7 PRECEDING)),
+  FROM kp WINDOW s AS (PARTITION BY inst ORDER BY ts), w AS (PARTITION BY inst ORDER BY ts ROWS 7 PRECEDING)),
 r AS (SELECT *, avg(greatest(d, 0)) OVER w AS up, avg(greatest(-d, 0)) OVER w AS down FROM c WINDOW w AS (PARTITION BY inst ORDER BY ts ROWS 7 PRECEDING))
 SELECT inst, epoch(ts)::BIGINT AS at, round(momentum, 6) AS momentum, round(CASE WHEN high - low > 1e-10 THEN (close - open) / (high - low) ELSE 0 END, 6) AS body,
   round(CASE WHEN hi - lo > 1e-10 THEN (close - lo) / (hi - lo) ELSE 0.5 END, 6) AS place, round(CASE WHEN high - low > 1e-10 THEN (high - greatest(open, close)) / (high - low) ELSE 0 END, 6) AS upper,
@@ -367,7 +370,9 @@ SELECT inst, epoch(ts)::BIGINT AS at, round(momentum, 6) AS momentum, round(CASE
   round(CASE WHEN rg > 1e-10 THEN (high - low) / rg ELSE 1 END, 6) AS expansion, round(sqrt(pk / (4 * ln(2))), 6) AS parkinson,
   round(CASE WHEN up + down > 0 THEN 100 * up / (up + down) ELSE 50 END, 6) AS rsi FROM r""")
 def candle_signals(spark, sf_dir):
-    bars = _bars(spark, sf_dir).where("low > 0")
+    bars = _bars(spark, sf_dir)
+    priced = F.col("low") > 0  # other bars keep their place, without prices
+    bars = bars.withColumns({c: F.when(priced, F.col(c)) for c in ("open", "high", "low", "close")})
     change = _c("close") - F.lag("close").over(ts.series())
     bars = bars.withColumn("d", change).withColumns({"gain": F.when(_c("d").isNotNull(), F.greatest(_c("d"), F.lit(0.0))), "loss": F.when(_c("d").isNotNull(), F.greatest(-_c("d"), F.lit(0.0)))})
     made = rounded(momentum=candles.momentum(4), body=candles.body_ratio(), place=candles.close_position(8), upper=candles.upper_shadow(), above_mean=candles.price_vs_mean(8),
@@ -573,19 +578,19 @@ def portfolio_weights(spark, sf_dir):
     return spark.createDataFrame(rows, "method string, alpha string, weight double")
 
 
-@register("stream_candles", """SELECT event_type AS symbol, epoch(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'))::BIGINT AS at, round(max(value), 6) AS high, round(min(value), 6) AS low, count(*) AS volume
-FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
+@register("stream_candles", """SELECT event_type AS symbol, epoch(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'))::BIGINT AS at, round(arg_min(value, row(ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low,
+round(arg_max(value, row(ts, event_id)), 6) AS close, count(*) AS volume FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
 def stream_candles(spark, sf_dir):
     """Candles of the events table read as a stream, all available data in one run."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").where("value IS NOT NULL")
-    ticks = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("size"))
+    ticks = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("size"), F.col("event_id").alias("event"))
     out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/table")
     run = stream.windowed(ticks, "6 hours").writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint")
     run.foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     made = spark.read.parquet(f"{out}/table")
-    return made.select("symbol", F.unix_seconds("ts").alias("at"), F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), "volume")
+    return made.select("symbol", F.unix_seconds("ts").alias("at"), *rounded(**{c: _c(c) for c in ("open", "high", "low", "close")}), "volume")
 
 
 @register("stream_warm_weights", """WITH o AS (SELECT event_type AS symbol, ts, 'a' || (user_id % 5) AS alpha, CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS net FROM events),

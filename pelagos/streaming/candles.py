@@ -29,11 +29,15 @@ def deduplicated(candles: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def windowed(ticks: DataFrame, every: str, late: str = LATE, slide: str | None = None) -> DataFrame:
-    """Open, high, low, close and volume per symbol and tumbling (or sliding) window of (symbol, ts, price, size)."""
+    """Open, high, low, close and volume per symbol and tumbling (or sliding) window of (symbol, ts, price, size).
+
+    Ticks of equal time follow each other by ``event`` if there is such a column, else by price.
+    """
+    order = F.struct("ts", "event" if "event" in ticks.columns else "price")
     w = F.window("ts", every, slide) if slide else F.window("ts", every)
     made = ticks.withWatermark("ts", late).groupBy("symbol", w.alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"), F.sum("size").alias("volume"),
     )
     return made.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
