@@ -122,17 +122,16 @@ def with_loadings(panel: DataFrame, field: str, components: DataFrame, every: in
     That is the last window which ends ``lag`` times before the row or earlier; ``every`` None applies the only window to
     all times.  Both are null before the first window.
     """
-    first = components.agg(F.min("e").alias("first"), F.max("e").alias("last"))
-    rows = panel.join(time_index(panel), "ts").join(F.broadcast(first))  # one row
-    if every is None:
-        e = F.col("last")
+    first, last = components.agg(F.min("e"), F.max("e")).first()
+    rows = panel.join(time_index(panel), "ts")
+    if every is None or last is None:
+        e = F.lit(last)
     else:
-        e = F.least(F.col("first") + F.floor((F.col("t") - lag - F.col("first")) / every) * every, F.col("last"))
-        e = F.when(F.col("t") - lag >= F.col("first"), e)
+        e = F.when(F.col("t") - lag >= first, F.least(F.floor((F.col("t") - lag - first) / every) * every + first, F.lit(last)))
     each = loadings(panel, field, components, scaled).groupBy("e", "inst")
     v = each.agg(F.sort_array(F.collect_list(F.struct("k", "v", "share"))).alias("c"))
     v = v.select("e", "inst", F.col("c.v").alias("v"), F.col("c.share").alias("share"))
-    return rows.withColumn("e", e.cast("int")).drop("first", "last").join(v, ["e", "inst"], "left").drop("e")
+    return rows.withColumn("e", e.cast("int")).join(v, ["e", "inst"], "left").drop("e")
 
 
 def _score(weight: Column, factors: int) -> list[Column]:

@@ -202,8 +202,7 @@ def rolling_weights(
     times = times.withColumn("t", F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1)
     times = written(times, "times")
     rows = returns.where(F.col("r").isNotNull()).join(times, [*keys, "ts"]).select(*keys, "alpha", "t", F.col("r").cast("double").alias("r"))
-    count = times.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = rows.join(count, list(keys)) if keys else rows.crossJoin(F.broadcast(count))  # one row without keys
+    rows = rows.join(times.groupBy(*keys).agg(F.count("*").alias("n")), list(keys)) if keys else rows.withColumn("n", F.lit(times.count()))
     spread = max(1, lookback // every)  # rebalances that are worked on together
     low = F.greatest(F.floor((F.col("t") - lookback) / every) + 1, F.lit(0))  # of the rebalances whose window holds t
     high = F.least(F.floor(F.col("t") / every), F.floor((F.col("n") - 1 - lookback) / every))

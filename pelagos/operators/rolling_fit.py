@@ -96,9 +96,8 @@ def residual_weights(returns: DataFrame, window: int, ridge: float = 0.0, keys:
     """
     times = returns.select(*keys, "ts").distinct().withColumn("t", F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1)
     times = written(times, "times")
-    count = times.groupBy(*keys).agg(F.count("*").alias("n"))
     rows = returns.join(times, [*keys, "ts"])
-    rows = rows.join(count, list(keys)) if keys else rows.crossJoin(F.broadcast(count))  # one row without keys
+    rows = rows.join(times.groupBy(*keys).agg(F.count("*").alias("n")), list(keys)) if keys else rows.withColumn("n", F.lit(times.count()))
     last = F.least(F.floor((F.col("t") + window - 1) / span_rows), F.floor((F.col("n") - 1) / span_rows))
     spans = F.explode(F.sequence(F.floor(F.col("t") / span_rows), last))
     dealt = rows.select(*keys, "n", "t", "alpha", F.col("r").cast("double").alias("r"), F.col("e").cast("double").alias("e"), spans.alias("span"))

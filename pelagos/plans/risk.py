@@ -214,8 +214,8 @@ def decoded_returns(positions: DataFrame, expected: DataFrame, ridge: float = 0.
     k, place = len(names), {n: i for i, n in enumerate(names)}
     each = expected.where(F.col("e").isNotNull()).groupBy("ts", "alpha").agg(F.sum("e").alias("e"))
     each = each.groupBy("ts").agg(F.collect_list(F.struct("alpha", "e")).alias("es"))
-    last = grams.agg(F.max("ts").alias("last"))
-    rows = grams.join(each, "ts", "left").join(F.broadcast(last))  # one row
+    last = F.lit(grams.agg(F.max("ts")).first()[0])
+    rows = grams.join(each, "ts", "left").withColumn("is_last", F.col("ts") == last)
 
     def inverse(g: np.ndarray) -> np.ndarray:
         return np.linalg.inv(g + ridge * np.eye(k)) if ridge else np.linalg.pinv(g, rcond=1e-12, hermitian=True)
@@ -230,25 +230,24 @@ def decoded_returns(positions: DataFrame, expected: DataFrame, ridge: float = 0.
                     if x["alpha"] in place:
                         e[place[x["alpha"]]] = x["e"]
                 g = np.reshape(r.gram, (k, k))
-                made.append((r.ts == r.last, e - g @ (inverse(g) @ e), e, r.gram))
+                made.append((r.is_last, e - g @ (inverse(g) @ e), e, r.gram))
             yield pd.DataFrame(made, columns=["is_last", "rest", "e", "gram"])
 
     left = written(rows.mapInPandas(rests, "is_last boolean, rest array<double>, e array<double>, gram array<double>"), "rests")
     spread = left.where("NOT is_last").select(F.posexplode("rest").alias("at", "x")).groupBy("at").agg(F.var_pop("x").alias("v"))
-    spread = spread.agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("c")).select(F.col("c.v").alias("v"))
-    final = left.where("is_last").join(F.broadcast(spread))  # one row each
+    spread = np.array([r["v"] for r in spread.orderBy("at").collect()])  # one number per alpha
 
     def solved(batches):
         for pdf in batches:
             made = []
             for r in pdf.itertuples():
-                v = np.asarray(r.v, float) if len(r.v) else np.zeros(k)
+                v = spread if len(spread) else np.zeros(k)
                 v = np.maximum(v, 1e-9 * v.max()) if v.max() > 1e-24 else np.ones(k)
                 root = np.sqrt(v.mean() / v)
                 y = root * (inverse(root[:, None] * np.reshape(r.gram, (k, k)) * root) @ (root * np.asarray(r.e)))
                 made += list(zip(names, map(float, y), strict=True))
             yield pd.DataFrame(made, columns=["alpha", "y"])
 
-    parts = final.mapInPandas(solved, f"alpha {positions.schema['alpha'].dataType.simpleString()}, y double")
-    own = positions.join(F.broadcast(last), positions["ts"] == last["last"]).where(F.col("w").isNotNull())
+    parts = left.where("is_last").mapInPandas(solved, f"alpha {positions.schema['alpha'].dataType.simpleString()}, y double")
+    own = positions.where((F.col("ts") == last) & F.col("w").isNotNull())
     return own.join(parts, "alpha").groupBy("inst").agg(F.sum(F.col("w") * F.col("y")).alias("r"))
