@@ -110,13 +110,25 @@ def factor_risk(factors: DataFrame, halflife: float = 60.0, block: int = 256) ->
     return made.select("ts", F.col("s").alias("cov"))
 
 
-def specific_risk(panel: DataFrame, ret: str, exposures: list[str], factors: DataFrame, halflife: float = 60.0, block: int = 256) -> DataFrame:
-    """ts, inst and variance of what the factors leave of the returns, with decaying memory."""
+def specific_risk(panel: DataFrame, ret: str, exposures: list[str], factors: DataFrame, halflife: float = 60.0, group_rows: int = 1 << 20) -> DataFrame:
+    """ts, inst and variance of what the factors leave of the returns, with decaying memory.
+
+    Instruments are dealt over groups of about ``group_rows`` rows, each with whole series.
+    """
     rows = panel.join(factors, "ts")
     told = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.col("x")[i] for i, c in enumerate(exposures)), F.lit(0.0))
     rest = F.coalesce(F.col(ret).cast("double"), F.lit(0.0)) - told
-    made = decayed(rows.select("inst", "t", "ts", F.array(rest * rest).alias("x")), halflife, ("inst",), block)
-    return made.select("ts", "inst", F.col("s")[0].alias("variance"))
+    rows = rows.select("ts", "inst", (rest * rest).alias("q"))
+    buckets = max(1, math.ceil(panel.count() / group_rows))
+    pace = 1 - 0.5 ** (1 / halflife)
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["inst", "ts"], kind="stable")
+        own = pdf.groupby("inst", sort=False, dropna=False)["q"]
+        return pdf[["ts", "inst"]].assign(variance=own.ewm(alpha=pace, adjust=False).mean().to_numpy())
+
+    schema = T.StructType([panel.schema["ts"], panel.schema["inst"], T.StructField("variance", T.DoubleType())])
+    return rows.groupBy(F.pmod(F.xxhash64("inst"), F.lit(buckets)).alias("bucket")).applyInPandas(walked, schema)
 
 
 def joint_intercepts(returns: DataFrame, market: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ SELECT CAST(e.ts AS DATE) AS ts, inst, round(sum({_MEMORY} * s.q), 7) AS varianc
 def specific_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decaying variance of what sector and size factors leave of an instrument's returns."""
     panel = exposed_panel(spark, sf_dir)
-    found = risk.specific_risk(panel, "r", EXPOSURES, risk.factor_returns(panel, "r", EXPOSURES, 1.0), 6.0, 10)
+    found = risk.specific_risk(panel, "r", EXPOSURES, risk.factor_returns(panel, "r", EXPOSURES, 1.0), 6.0)
     return keyed(found, F.round("variance", 7).alias("variance"))
 
 
