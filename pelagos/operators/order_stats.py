@@ -1,8 +1,9 @@
 """Exact quantiles of moving and growing windows, at a cost near-linear in the rows.
 
-A moving window keeps its values sorted and exchanges one of them per row.  Series are cut into spans of rows that
-overlap by a window, so a long series is many groups.  A growing window keeps its values in two heaps that meet at the
-quantile; it walks a series from its beginning in one group.
+Moving windows run over batches of many series at once, one exchange of a value per row; the last window of a batch is
+carried into the next, so a task holds a batch and a window.  Series may be cut into spans of rows that overlap by a
+window, so a long one is many tasks.  A growing window keeps its values in two heaps that meet at the quantile; it walks
+a series from its beginning in one group.
 
 Quantiles lie between neighbours in proportion, missing values are no values, and a row with fewer than ``least`` of
 them in its window has none.  Rows of equal time follow each other by ``ties`` if any are named.
@@ -13,10 +14,12 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,29 +83,73 @@ def _filled(pdf: pd.DataFrame, out: str, made: np.ndarray, columns: list[str]) -
     return pdf.assign(**{out: pd.Series(made, pdf.index).astype(object).where(~np.isnan(made), None)})[[*columns, out]]
 
 
+class _Bounds(BaseIndexer):
+    """Windows that begin at given rows and end with the row itself."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.begin, np.arange(1, num_values + 1, dtype=np.int64)
+
+
+def moving_quantiles(x: np.ndarray, begin: np.ndarray, window: int, q: float, least: int = 1) -> np.ndarray:
+    """Quantile of the rows from ``begin`` to each row, where ``begin`` is the window's first row or the series'."""
+    if not np.isinf(x).any():
+        return pd.Series(x).rolling(_Bounds(begin=begin), min_periods=max(least, 1)).quantile(q).to_numpy()
+    # pandas takes infinities for missing values
+    starts = np.flatnonzero(begin == np.arange(len(x)))
+    return np.concatenate([moving_quantile(own, window, q, least) for own in np.split(x, starts[1:] if window > 1 else np.arange(1, len(x)))])
+
+
 def rolling_quantile(
     panel: DataFrame, field: str, window: int, q: float = 0.5, least: int = 1, keys: Sequence[str] = ("inst",), out: str = "quantile",
-    ties: Sequence[str] = (), span_rows: int = SPAN_ROWS,
+    ties: Sequence[str] = (), span_rows: int | None = SPAN_ROWS,
 ) -> DataFrame:
     """``panel`` with the quantile of ``field`` over the last ``window`` rows of each key."""
-    line = Window.partitionBy(*keys).orderBy(*_order(ties))
-    at = F.row_number().over(line) - 1
-    numbered = panel.withColumn("_at", at)
-    first = F.floor(F.col("_at") / span_rows)
-    last = F.floor((F.col("_at") + window - 1) / span_rows)
-    whole = Window.partitionBy(*keys)
-    numbered = numbered.withColumn("_end", F.floor((F.count("*").over(whole) - 1) / span_rows))
-    dealt = numbered.withColumn("_span", F.explode(F.sequence(first, F.least(last, F.col("_end"))))).drop("_end")
-    columns = panel.columns
+    return rolling_quantiles(panel, {out: field}, window, q, least, keys, ties, span_rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at", kind="stable")
-        made = moving_quantile(pdf[field].to_numpy(float), window, q, least)
-        own = (pdf["_at"] // span_rows == pdf["_span"]).to_numpy()
-        return _filled(pdf[own], out, made[own], columns)
 
-    schema = T.StructType([*panel.schema.fields, T.StructField(out, T.DoubleType())])
-    return dealt.groupBy(*keys, "_span").applyInPandas(run, schema)
+def rolling_quantiles(
+    panel: DataFrame, fields: Mapping[str, str], window: int, q: float = 0.5, least: int = 1, keys: Sequence[str] = ("inst",),
+    ties: Sequence[str] = (), span_rows: int | None = SPAN_ROWS,
+) -> DataFrame:
+    """``panel`` with a quantile under each name of ``fields``, of the field named there, in one pass.
+
+    Without ``span_rows`` each series stays where the windows along it are, in one task and without another shuffle.
+    """
+    line = Window.partitionBy(*keys).orderBy(*_order(ties))
+    dealt = panel.withColumn("_at", F.row_number().over(line) - 1)
+    if span_rows is None:
+        # the window has brought each key into one task; its order is stated again and costs nothing where it still holds
+        dealt = dealt.withColumn("_span", F.lit(0).cast("long")).sortWithinPartitions(*keys, *_order(ties), "_at")
+    else:
+        first = F.floor(F.col("_at") / span_rows)
+        last = F.floor((F.col("_at") + window - 1) / span_rows)
+        end = F.floor((F.count("*").over(Window.partitionBy(*keys)) - 1) / span_rows)
+        dealt = dealt.withColumn("_end", end).withColumn("_span", F.explode(F.sequence(first, F.least(last, F.col("_end"))))).drop("_end")
+        dealt = dealt.repartition(*keys, "_span").sortWithinPartitions(*keys, "_span", "_at")
+    columns, rows = panel.columns, span_rows or 1 << 62
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {out: np.empty(0) for out in fields}  # rows of the last series that later windows may hold
+        for batch in batches:
+            at, span = batch["_at"].to_numpy(zero_copy_only=False).astype(np.int64), batch["_span"].to_numpy(zero_copy_only=False).astype(np.int64)
+            n, before = len(at), len(next(iter(kept.values())))
+            if not n:
+                continue
+            new = at == np.maximum(span * rows - (window - 1), 0)  # first row of a series or span
+            place = np.arange(before + n, dtype=np.int64)
+            series = np.maximum.accumulate(np.where(np.concatenate([np.zeros(before, bool), new]), place, 0))
+            begin = np.maximum(place - (window - 1), series)
+            made = []
+            for out, field in fields.items():
+                x = np.concatenate([kept[out], batch[field].to_numpy(zero_copy_only=False).astype(float)])
+                values = moving_quantiles(x, begin, window, q, least)[before:]
+                made.append(pa.array(values, pa.float64(), mask=np.isnan(values)))
+                kept[out] = x[max(series[-1], len(x) - (window - 1)) :] if window > 1 else x[:0]
+            done = pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *made], names=[*columns, *fields])
+            yield done if span_rows is None else done.filter(pa.array(at // rows == span))
+
+    schema = T.StructType([*panel.schema.fields, *(T.StructField(out, T.DoubleType()) for out in fields)])
+    return dealt.mapInArrow(run, schema)
 
 
 def expanding_quantile(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pelagos.functions import timeseries as ts
 from pelagos.functions.elementwise import clip, over
-from pelagos.operators.order_stats import rolling_quantile
+from pelagos.operators.order_stats import rolling_quantiles
 
 
 @dataclass(frozen=True)
@@ -97,14 +97,16 @@ def capped_returns(panel: DataFrame, ret: str, dollars: str | None = None, limit
     a bad print and its return missing.  Before there are ``least_window`` values only the hard limit holds.
     """
     columns, line = panel.columns, ts.series()
-    made = panel.withColumn("_r", clip(F.col(ret).cast("double"), -limits.most_return, limits.most_return)).withColumn("_size", F.abs("_r"))
-    made = rolling_quantile(made, "_size", limits.window, 0.5, limits.least_window, out="_mid")
-    cap = F.greatest(F.lag("_mid").over(line) * limits.cap_multiple, F.lit(limits.least_cap))
-    made = made.withColumn("_cap", F.when(F.lag("_mid").over(line).isNotNull(), cap))
+    made = panel.withColumn("_r", clip(F.col(ret).cast("double"), -limits.most_return, limits.most_return))
+    # quantiles of the values one bar late are those of the bars before: no window has to follow them
+    before = {"_size": F.lag(F.abs("_r")).over(line), **({"_traded": F.lag(dollars).over(line)} if dollars else {})}
+    names = {"_mid": "_size", **({"_usual": "_traded"} if dollars else {})}
+    made = rolling_quantiles(made.withColumns(before), names, limits.window, 0.5, limits.least_window, span_rows=None)
+    cap = F.greatest(F.col("_mid") * limits.cap_multiple, F.lit(limits.least_cap))
+    made = made.withColumn("_cap", F.when(F.col("_mid").isNotNull(), cap))
     made = made.withColumn(out, F.when(F.col("_cap").isNull(), F.col("_r")).otherwise(clip(F.col("_r"), -F.col("_cap"), F.col("_cap"))))
     if dollars:
-        made = rolling_quantile(made, dollars, limits.window, 0.5, limits.least_window, out="_usual")
-        spike = (F.col(dollars) > F.lag("_usual").over(line) * limits.spike_multiple) & (F.abs(out) > limits.spike_return)
+        spike = (F.col(dollars) > F.col("_usual") * limits.spike_multiple) & (F.abs(out) > limits.spike_return)
         made = made.withColumn(out, F.when(~F.coalesce(spike, F.lit(False)), F.col(out)))
     return made.select(*columns, out)
 

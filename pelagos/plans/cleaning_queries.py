@@ -71,7 +71,7 @@ SELECT {PANEL_KEYS}, round(raw, 6) AS raw, round(capped, 6) AS capped FROM k"""
 @register("capped_returns", CAPPED_SQL)
 def capped_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly returns capped by the two years before them."""
-    panel = src.monthly_panel(spark, sf_dir)
+    panel = src.monthly_panel(spark, sf_dir).select("ts", "inst", "close", "dollars")
     panel = panel.withColumn("raw", over(F.col("close"), F.lag("close").over(ts.series())) - 1)
     made = cleaning.capped_returns(panel, "raw", "dollars", LIMITS)
     return keyed(made, *rounded(raw=F.col("raw"), capped=F.col("capped")))
