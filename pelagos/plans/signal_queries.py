@@ -37,50 +37,89 @@ def _corr(a: str, b: str, n: int) -> str:
 
 _EPS = 1e-10
 
+#: Window aggregates that the named expressions are made of: name, and column for a choice of window.
+PARTS: dict[str, object] = {}
+
+
+def _part(kind: str, x: str, n: int) -> Column:
+    """The aggregate of a column over the last ``n`` rows, listed in ``PARTS`` so that each is computed once."""
+    least = {"sd": 2, "mean2": 2}.get(kind, 1)
+    make = {"mean": F.avg, "mean2": F.avg, "sd": F.stddev_samp, "low": F.min, "high": F.max, "sum": F.sum}[kind]
+
+    def over_window(w):
+        return make(x).over(w) if least == 1 else ts.at_least(least, _c(x), w, make(x).over(w))
+
+    PARTS.setdefault(f"{kind}_{x}_{n}", (over_window, n))
+    return _c(f"{kind}_{x}_{n}")
+
+
+def _corr_part(x: str, y: str, n: int) -> Column:
+    """Pearson correlation of complete pairs, from two; missing where a side is constant."""
+    a, b = F.when(_c(y).isNotNull(), _c(x)), F.when(_c(x).isNotNull(), _c(y))
+    parts = {"sd_a": lambda w: F.stddev_samp(a).over(w), "sd_b": lambda w: F.stddev_samp(b).over(w), "cov": lambda w: ts.at_least(2, _c(x) + _c(y), w, F.covar_samp(a, b).over(w))}
+    for kind, made in parts.items():
+        PARTS.setdefault(f"{kind}_{x}_{y}_{n}", (made, n))
+    cov, left, right = (_c(f"{kind}_{x}_{y}_{n}") for kind in ("cov", "sd_a", "sd_b"))
+    return ew.over(cov, left * right)
+
+
 #: The families of the named expressions and their lookbacks.  Of each: name, lookbacks, column and SQL.
 FAMILIES = [
-    ("mom_{0}bar", [(90,), (120,), (180,), (240,)], lambda n: ts.ts_mean(_c("r"), n), lambda n: _rolling("r", n)),
-    ("double_smooth_{0}_{1}", [(30, 90), (45, 120)], lambda a, b: ts.ts_mean(_c(f"smooth{a}"), b), lambda a, b: _rolling(f"smooth{a}", b)),
+    ("mom_{0}bar", [(90,), (120,), (180,), (240,)], lambda n: _part("mean", "r", n), lambda n: _rolling("r", n)),
+    ("double_smooth_{0}_{1}", [(30, 90), (45, 120)], lambda a, b: _part("mean", f"smooth{a}", b), lambda a, b: _rolling(f"smooth{a}", b)),
     ("donchian_{0}", [(90,), (120,), (180,), (240,)],
-     lambda n: (_c("close") - ts.ts_min(_c("close"), n)) / (ts.ts_max(_c("close"), n) - ts.ts_min(_c("close"), n) + _EPS),
+     lambda n: (_c("close") - _part("low", "close", n)) / (_part("high", "close", n) - _part("low", "close", n) + _EPS),
      lambda n: f"(close - {_rolling('close', n, 'min')}) / ({_rolling('close', n, 'max')} - {_rolling('close', n, 'min')} + {_EPS})"),
-    ("trend_strength_{0}", [(60,), (90,), (120,)], lambda n: ts.ts_mean(_c("r"), n) / (ts.ts_mean(F.abs("r"), n) + _EPS),
+    ("trend_strength_{0}", [(60,), (90,), (120,)], lambda n: _part("mean", "r", n) / (_part("mean", "size", n) + _EPS),
      lambda n: f"{_rolling('r', n)} / ({_rolling('abs(r)', n)} + {_EPS})"),
-    ("mom_diff_{0}_{1}", [(30, 90), (60, 180), (90, 270)], lambda a, b: ts.ts_mean(_c("r"), a) - ts.ts_mean(_c("r"), b),
+    ("mom_diff_{0}_{1}", [(30, 90), (60, 180), (90, 270)], lambda a, b: _part("mean", "r", a) - _part("mean", "r", b),
      lambda a, b: f"{_rolling('r', a)} - {_rolling('r', b)}"),
-    ("sharpe_{0}", [(60,), (90,), (120,)], lambda n: ts.ts_mean(_c("r"), n) / (ts.stddev(_c("r"), n) + _EPS),
+    ("sharpe_{0}", [(60,), (90,), (120,)], lambda n: _part("mean", "r", n) / (_part("sd", "r", n) + _EPS),
      lambda n: f"{_rolling('r', n)} / ({_rolling('r', n, 'stddev_samp', 2)} + {_EPS})"),
-    ("trend_vol_adj_{0}", [(90,), (120,)], lambda n: ts.ts_mean(_c("r"), n) * (1 / (ts.stddev(_c("r"), n) + _EPS)),
+    ("trend_vol_adj_{0}", [(90,), (120,)], lambda n: _part("mean", "r", n) * (1 / (_part("sd", "r", n) + _EPS)),
      lambda n: f"{_rolling('r', n)} * (1 / ({_rolling('r', n, 'stddev_samp', 2)} + {_EPS}))"),
-    ("vol_weighted_mom_{0}", [(60,), (90,), (120,)], lambda n: ts.ts_mean(_c("r") * _c("volume"), n), lambda n: _rolling("r * volume", n)),
-    ("reversal_{1}day", [(6, 1), (12, 2), (18, 3), (24, 4), (30, 5)], lambda n, _: -ts.ts_mean(_c("r"), n), lambda n, _: f"-{_rolling('r', n)}"),
+    ("vol_weighted_mom_{0}", [(60,), (90,), (120,)], lambda n: _part("mean", "traded", n), lambda n: _rolling("r * volume", n)),
+    ("reversal_{1}day", [(6, 1), (12, 2), (18, 3), (24, 4), (30, 5)], lambda n, _: -_part("mean", "r", n), lambda n, _: f"-{_rolling('r', n)}"),
     ("zscore_rev_{0}", [(30,), (45,), (60,), (90,)],
-     lambda n: -ew.over(_c("close") - ts.at_least(2, _c("close"), ts.trailing(n), ts.ts_mean(_c("close"), n)), ts.stddev(_c("close"), n)),
+     lambda n: -ew.over(_c("close") - _part("mean2", "close", n), _part("sd", "close", n)),
      lambda n: f"-(close - {_rolling('close', n, 'avg', 2)}) / nullif({_rolling('close', n, 'stddev_samp', 2)}, 0)"),
-    ("buy_dip_{0}", [(30,), (45,), (60,)], lambda n: (ts.ts_max(_c("high"), n) - _c("close")) / (ts.ts_max(_c("high"), n) + _EPS),
+    ("buy_dip_{0}", [(30,), (45,), (60,)], lambda n: (_part("high", "high", n) - _c("close")) / (_part("high", "high", n) + _EPS),
      lambda n: f"({_rolling('high', n, 'max')} - close) / ({_rolling('high', n, 'max')} + {_EPS})"),
-    ("fade_moves_{1}d", [(6, 1), (12, 2), (18, 3)], lambda n, _: -ts.ts_max(F.abs("r"), n), lambda n, _: f"-{_rolling('abs(r)', n, 'max')}"),
-    ("low_vol_{0}", [(60,), (90,), (120,)], lambda n: -ts.stddev(_c("r"), n), lambda n: f"-{_rolling('r', n, 'stddev_samp', 2)}"),
-    ("obv_{0}", [(60,), (90,), (120,)], lambda n: ts.ts_sum(F.signum("r") * _c("volume"), n), lambda n: _rolling("sign(r) * volume", n, "sum")),
-    ("corr_ret_vol_{0}", [(60,), (90,)], lambda n: ts.correlation(_c("r"), _c("volume"), n, 2), lambda n: _corr("r", "volume", n)),
-    ("hl_corr_{0}", [(90,), (120,)], lambda n: ts.correlation(_c("high"), _c("low"), n, 2), lambda n: _corr("high", "low", n)),
-    ("price_vs_ma{0}", [(120,), (180,)], lambda n: ew.over(_c("close"), ts.ts_mean(_c("close"), n)), lambda n: f"close / nullif({_rolling('close', n)}, 0)"),
-    ("ma{0}_vs_ma{1}", [(30, 90), (60, 180)], lambda a, b: ew.over(ts.ts_mean(_c("close"), a), ts.ts_mean(_c("close"), b)),
+    ("fade_moves_{1}d", [(6, 1), (12, 2), (18, 3)], lambda n, _: -_part("high", "size", n), lambda n, _: f"-{_rolling('abs(r)', n, 'max')}"),
+    ("low_vol_{0}", [(60,), (90,), (120,)], lambda n: -_part("sd", "r", n), lambda n: f"-{_rolling('r', n, 'stddev_samp', 2)}"),
+    ("obv_{0}", [(60,), (90,), (120,)], lambda n: _part("sum", "signed", n), lambda n: _rolling("sign(r) * volume", n, "sum")),
+    ("corr_ret_vol_{0}", [(60,), (90,)], lambda n: _corr_part("r", "volume", n), lambda n: _corr("r", "volume", n)),
+    ("hl_corr_{0}", [(90,), (120,)], lambda n: _corr_part("high", "low", n), lambda n: _corr("high", "low", n)),
+    ("price_vs_ma{0}", [(120,), (180,)], lambda n: ew.over(_c("close"), _part("mean", "close", n)), lambda n: f"close / nullif({_rolling('close', n)}, 0)"),
+    ("ma{0}_vs_ma{1}", [(30, 90), (60, 180)], lambda a, b: ew.over(_part("mean", "close", a), _part("mean", "close", b)),
      lambda a, b: f"{_rolling('close', a)} / nullif({_rolling('close', b)}, 0)"),
-    ("close_location_{0}", [(60,), (90,)], lambda n: ts.ts_mean((_c("close") - _c("low")) / (_c("high") - _c("low") + _EPS), n),
+    ("close_location_{0}", [(60,), (90,)], lambda n: _part("mean", "location", n),
      lambda n: _rolling(f"((close - low) / (high - low + {_EPS}))", n)),
-    ("oc_position_{0}", [(60,)], lambda n: ts.ts_mean((_c("close") - _c("open")) / (_c("high") - _c("low") + _EPS), n),
+    ("oc_position_{0}", [(60,)], lambda n: _part("mean", "moved", n),
      lambda n: _rolling(f"((close - open) / (high - low + {_EPS}))", n)),
 ]
 NAMED = {name.format(*n): (column, sql, n) for name, sizes, column, sql in FAMILIES for n in sizes}
 _SIZES = {n for _, _, own in NAMED.values() for n in own} | {30, 45}
 
 
-def named_expressions(panel: DataFrame) -> DataFrame:
-    """``panel`` with ``r``, the return of each row, and a column for each of the named expressions."""
+def named_expressions(panel: DataFrame, times: int | None = None) -> DataFrame:
+    """``panel`` with ``r``, the return of each row, and a column for each of the named expressions.
+
+    ``times``: the rows of the longest series, if known.  A window of as many rows or more holds all rows so far, which
+    Spark keeps up from row to row; a shorter one is gone through anew at every row.
+    """
+    whole = ts.so_far()
+    window = lambda n: whole if times is not None and n >= times else ts.trailing(n)
+    spread = _c("high") - _c("low") + _EPS
     made = panel.withColumn("r", ts.pct_change(_c("close")))
-    made = made.withColumns({f"smooth{n}": ts.ts_mean(_c("r"), n) for n in (30, 45)})
-    return made.withColumns({name: column(*n) for name, (column, _, n) in NAMED.items()})
+    made = made.withColumns({f"smooth{n}": F.avg("r").over(window(n)) for n in (30, 45)})
+    made = made.withColumns({
+        "size": F.abs("r"), "traded": _c("r") * _c("volume"), "signed": F.signum("r") * _c("volume"),
+        "location": (_c("close") - _c("low")) / spread, "moved": (_c("close") - _c("open")) / spread,
+    })
+    expressions = {name: column(*n) for name, (column, _, n) in NAMED.items()}
+    made = made.withColumns({name: part(window(n)) for name, (part, n) in PARTS.items()})
+    return made.select(*panel.columns, "r", *(c.alias(name) for name, c in expressions.items()))
 
 
 _NAMED_SQL = f"""WITH {PANEL_SQL}, q AS (SELECT *, close / nullif(lag(close) OVER s, 0) - 1 AS r, lead(open) OVER s / nullif(open, 0) - 1 AS ret FROM panel {_windows(1)}),
@@ -99,7 +138,11 @@ def batch_expressions_ic(spark, sf_dir):
 
     Values are rounded to nine decimals before they are ranked, as sums of doubles depend on their order.
     """
-    panel = named_expressions(bt.with_returns(src.monthly_panel(spark, sf_dir), 1))
+    panel = src.monthly_panel(spark, sf_dir).select("ts", "inst", "open", "high", "low", "close", "volume")
+    # the panel is dense, so one instrument tells the rows of each
+    one = src.groups(spark, sf_dir).agg(F.min("inst")).first()[0]
+    times = panel.where(F.col("inst") == one).count()
+    panel = named_expressions(bt.with_returns(panel, 1), times)
     panel = panel.select("ts", "inst", *(F.round(c, 9).alias(c) for c in ["ret", *NAMED]))
     made = agg.batch_ic(panel, list(NAMED), "ret")
     return made.select("alpha", F.col("ts").cast("date").alias("ts"), F.round("ic", 6).alias("ic"), "n")
