@@ -88,4 +88,5 @@ SELECT {PANEL_KEYS}, round(capped, 6) AS ret, close IS NOT NULL AS tradable FROM
 @register("cleaned_panel", CLEANED_SQL)
 def cleaned_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of cleaning over the monthly panel."""
-    return keyed(cleaning.cleaned(src.monthly_panel(spark, sf_dir), LIMITS), *rounded(ret=F.col("ret")), F.col("tradable"))
+    panel = src.monthly_panel(spark, sf_dir).select("ts", "inst", "high", "low", "close", "volume", "dollars")
+    return keyed(cleaning.cleaned(panel, LIMITS), *rounded(ret=F.col("ret")), F.col("tradable"))

@@ -39,3 +39,12 @@ def test_caps_need_no_group_for_each_series(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 0 and plan.count("MapInArrow") == 1
     assert plan.count("Exchange hashpartitioning") == 1  # series meet once
+
+
+def test_all_stages_need_no_group_for_each_series(spark):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), 2.0, 1.0, 1.5 + 0.01 * d, 5.0, 1000.0) for i in range(4) for d in range(8)]
+    frame = spark.createDataFrame(rows, "inst int, ts timestamp, high double, low double, close double, volume double, dollars double")
+    made = cleaning.cleaned(frame, cleaning.Limits(least_bars=4, window=4, least_window=2))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 0 and plan.count("MapInArrow") == 1
+    assert made.where("tradable").count() == len(rows)
